@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import chunks, lowered, mix, slice_hashes, string_column
+from .bpe import gather
 
 ORDER, WINDOW, DISCOUNT = 5, 6, 0.75
 _INSIDE = np.zeros(256, bool)
@@ -117,29 +118,34 @@ class Model:
 
 
 def train(texts: list[str], toxic: np.ndarray) -> Model:
-    owner, hashes, raws, firsts, lasts, base = [], [], [], [], [], 0
+    """Each chunk of texts is reduced to its distinct words by class before the next is read."""
+    pieces: list[list[tuple[np.ndarray, ...]]] = [[], []]
     for first, _, raw, at in chunks(pa.array(texts, pa.large_string())):
         raw = lowered(raw)
         s, e, row = spans(raw, at)
-        owner.append(toxic[first + row])
-        hashes.append(slice_hashes(raw, s, e))
-        firsts.append(s + base)
-        lasts.append(e + base)
-        raws.append(raw)
-        base += len(raw)
-    raw, s, e, keys, label = (np.concatenate(x) for x in (raws, firsts, lasts, hashes, owner))
-    words, mass, own, pooled = [], [], [], []
+        keys, label = slice_hashes(raw, s, e), toxic[first + row]
+        for c in (0, 1):
+            own = np.flatnonzero(label == c)
+            kind, where, count = np.unique(keys[own], return_index=True, return_counts=True)
+            size = (e - s)[own[where]]
+            pieces[c].append((kind, count, size, gather(raw, s[own[where]], size)[0]))
+    words, mass, own_grams, pooled = [], [], [], []
     for c in (0, 1):
-        kind, where, count = np.unique(keys[label == c], return_index=True, return_counts=True)
-        words.append(Table(kind, count))
-        mass.append((float(count.sum()), DISCOUNT * len(kind) / max(1, count.sum())))
-        a, b = s[label == c][where], e[label == c][where]
-        found = [(contexts, grams) for _, contexts, grams in letters(raw, a, b)]
-        level = [(np.concatenate([f[0][i] for f in found]), np.concatenate([f[1][i] for f in found])) for i in range(3)]
-        own.append(Grams(*level[0]))
-        pooled.append(level[1:])
-    shared = [Grams(*(np.concatenate([p[i][j] for p in pooled]) for j in (0, 1))) for i in (0, 1)]
-    return Model(words, mass, own, shared, np.zeros(3))
+        keys, count, size, raw = (np.concatenate([p[i] for p in pieces[c]]) for i in range(4))
+        words.append(Table(keys, count))
+        mass.append((max(1.0, float(count.sum())), DISCOUNT * len(words[c].keys) / max(1, count.sum())))
+        where = np.unique(keys, return_index=True)[1]
+        end = np.cumsum(size)[where]
+        levels: list[list[np.ndarray]] = [[] for _ in range(6)]
+        for _, contexts, grams in letters(raw, end - size[where], end):
+            for i, x in enumerate((*contexts, *grams)):
+                levels[i].append(x)
+        flat = [np.concatenate(x) for x in levels]
+        del levels
+        own_grams.append(Grams(flat[0], flat[3]))
+        pooled.append(flat[1:3] + flat[4:])
+    shared = [Grams(*(np.concatenate([p[i + 2 * j] for p in pooled]) for j in (0, 1))) for i in (0, 1)]
+    return Model(words, mass, own_grams, shared, np.zeros(3))
 
 
 class Scorer:

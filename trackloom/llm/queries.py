@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, bpe, langid, toxicity
+from . import bloom_lm, bpe, langid, toxicity, url_alias
 from ._common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), fold("doc_id", 10) != 0, fold("doc_id", 10) == 0)
+
+
+@query
+def op1_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_alias.judge(table(spark, sf_dir, "pages"))
+
+
+ORACLE["op1_url_aliases"] = url_alias.oracle()

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised pass handles; a longer single text is a pass of its own.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(MULT), -1, 1 << 64))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, bpe, chosen_path, langid, toxicity, url_alias
+from . import bloom_lm, bpe, chosen_path, crosspoly, langid, toxicity, url_alias
 from ._common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,8 @@ ORACLE["op1_url_aliases"] = url_alias.oracle()
 @query
 def op6_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.join(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspoly.near_vectors(table(spark, sf_dir, "embeddings"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, bpe, chosen_path, crosspoly, langid, toxicity, url_alias
+from . import bloom_lm, bpe, chosen_path, crosspoly, langid, multi_index, toxicity, url_alias
 from ._common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,8 @@ def op6_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspoly.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, bpe, chosen_path, crosspoly, langid, multi_index, toxicity, url_alias
+from . import bloom_lm, bpe, chosen_path, crosspoly, langid, mixing, multi_index, toxicity, url_alias
 from ._common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,12 @@ def op4_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return found.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_weight").alias("weight"), F.col("mix_copies").alias("copies"))
+
+
+ORACLE["op2_mixing"] = mixing.oracle()

@@ -273,7 +273,7 @@ def bpe_digest(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     The rank file is read on the driver and broadcast: its size is that of the vocabulary, whatever the corpus.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<long>, byte_lengths array<long>" if with_ids else "")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, byte_lengths array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks.value)
@@ -294,7 +294,7 @@ def bpe_digest(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                 ]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns += [pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(x.astype(np.int64))) for x in (ids, lengths)]
+                    columns += [pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (ids, lengths)]
                     names += ["ids", "byte_lengths"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 

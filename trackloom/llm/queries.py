@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, bpe, chosen_path, crosspoly, langid, mixing, multi_index, toxicity, url_alias
+from . import bloom_lm, bpe, chosen_path, crosspoly, langid, mixing, multi_index, pii, toxicity, url_alias
 from ._common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,8 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op2_mixing"] = mixing.oracle()
+
+
+@query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))

@@ -6,6 +6,7 @@ import math
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, MultilayerPerceptronClassifier, OneVsRest
 from pyspark.ml.feature import StringIndexer
@@ -84,25 +85,24 @@ class RadialMachine(Estimated):
 
     def __init__(self, size: int = 128, cost: float = 2.0, seed: int = 42) -> None:
         super().__init__(None)
-        self.size, self.cost, self.seed, self.gamma, self.rows = size, cost, seed, None, 1
+        self.size, self.cost, self.seed, self.gamma, self.rows, self.width = size, cost, seed, 1.0, 1, 1
 
     def fit_predict(self, train: DataFrame, test: DataFrame) -> DataFrame:
         flat = train.select(F.posexplode(F.col("features").cast("array<double>")).alias("_at", "v"))
         about = flat.agg(F.var_pop("v").alias("var"), F.max("_at").alias("last"), F.count("*").alias("n")).first()
-        d = about.last + 1
-        self.gamma, self.rows = 1 / (d * about["var"]) if about["var"] else 1.0, about.n // d
+        self.width = about.last + 1
+        self.gamma, self.rows = 1 / (self.width * about["var"]) if about["var"] else 1.0, about.n // self.width
         return super().fit_predict(train, test)
 
     def features(self, df: DataFrame) -> DataFrame:
-        d = len(df.select("features").first()[0])
         r = np.random.default_rng(self.seed)
-        directions, phases = r.normal(scale=math.sqrt(2 * self.gamma), size=(self.size, d)), r.uniform(0, 2 * np.pi, self.size)
-        x = F.col("features").cast("array<double>")
+        directions, phases = r.normal(scale=math.sqrt(2 * self.gamma), size=(self.width, self.size)), r.uniform(0, 2 * np.pi, self.size)
 
-        def wave(w: np.ndarray, b: float) -> Column:
-            return math.sqrt(2 / self.size) * F.cos(reduce(lambda s, i: s + float(w[i]) * F.get(x, F.lit(i)), range(d), F.lit(float(b))))
+        @F.pandas_udf("array<double>")
+        def waves(x: pd.Series) -> pd.Series:
+            return pd.Series(list(np.sqrt(2 / len(phases)) * np.cos(np.stack(x.to_numpy()).astype(float) @ directions + phases))) if len(x) else pd.Series([], dtype=object)
 
-        return df.withColumn("vector", array_to_vector(F.array(*(wave(w, b) for w, b in zip(directions, phases, strict=True)))))
+        return df.withColumn("vector", array_to_vector(waves(F.col("features").cast("array<double>"))))
 
     def make(self, width: int, classes: int):
         return OneVsRest(classifier=LinearSVC(maxIter=50, regParam=1 / (self.cost * max(1, self.rows))), featuresCol="vector", labelCol="code")

@@ -349,7 +349,7 @@ def _(spark, d):
 
 
 def _bin(v: str, low: str, high: str, n: int) -> str:
-    return f"least(CAST(floor(({v} - {low}) / (({high} - {low}) / {n})) AS INTEGER) + 1, {n})"
+    return f"least(CAST(floor({n}.0::DOUBLE * ({v} - {low}) / ({high} - {low}) + 1) AS INTEGER), {n})"
 
 
 def _histogram(column: str, table: str, n: int) -> str:

@@ -105,7 +105,7 @@ class RadialMachine(Estimated):
         return df.withColumn("vector", array_to_vector(waves(F.col("features").cast("array<double>"))))
 
     def make(self, width: int, classes: int):
-        return OneVsRest(classifier=LinearSVC(maxIter=15, aggregationDepth=2, regParam=1 / (self.cost * max(1, self.rows))), parallelism=8, featuresCol="vector", labelCol="code")
+        return OneVsRest(classifier=LinearSVC(maxIter=15, aggregationDepth=2, regParam=1 / (self.cost * max(1, self.rows))), featuresCol="vector", labelCol="code")
 
 
 def make_model(kind: str):

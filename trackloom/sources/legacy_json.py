@@ -23,6 +23,12 @@ def _items(text: Column) -> Column:
     return F.from_json(text, "array<string>")
 
 
+def _single(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing after it (parsers stop at the end of the first)."""
+    boxed = F.concat(F.lit("["), text, F.lit("]"))
+    return F.try_parse_json(boxed).isNotNull() & (F.size(_items(boxed)) == 1)
+
+
 def entities(texts: DataFrame, column: str = "value", compat: bool = False) -> DataFrame:
     """The entities, as JSON text, of rows that hold one document each.
 
@@ -31,13 +37,13 @@ def entities(texts: DataFrame, column: str = "value", compat: bool = False) -> D
     those that are no objects are skipped.
     """
     text = F.trim(F.regexp_replace(F.col(column), NOT_JSON, "null"))
-    rows = texts.select(text.alias("t")).withColumn("ok", F.try_parse_json("t").isNotNull())
+    rows = texts.select(text.alias("t")).withColumn("ok", _single(F.col("t")))
     table = F.from_json("t", "map<string,string>")
     keys = F.coalesce(F.json_object_keys("t"), F.array().cast("array<string>"))
     listed = F.filter(keys, lambda k: F.startswith(F.ltrim(F.try_element_at(table, k)), F.lit("[")) & _is_object(F.get(_items(F.try_element_at(table, k)), F.lit(0))))
     wrapped = F.coalesce(_items(F.try_element_at(table, F.get(listed, F.lit(0)))), F.array().cast("array<string>"))
     itself = F.arrays_overlap(keys, F.array(F.lit("detections"), F.lit("history_X"))) if not compat else F.lit(False)
-    lines = F.filter(F.transform(F.split("t", r"\r\n|\r|\n"), F.trim), lambda x: _is_object(x) & F.try_parse_json(x).isNotNull())
+    lines = F.filter(F.transform(F.split("t", r"\r\n|\r|\n"), F.trim), lambda x: _is_object(x) & _single(x))
     found = (
         F.when(F.col("ok") & F.startswith("t", F.lit("[")), _items(F.col("t")))
         .when(F.col("ok") & _is_object(F.col("t")) & itself, F.array("t"))

@@ -15,12 +15,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def sized(rows: DataFrame, key: str) -> DataFrame:
+#: Parts that the rows of a key are dealt to.
+SALTS = 16
+
+
+def sized(rows: DataFrame, key: str, member: str = "vertex") -> DataFrame:
     """``rows`` with n, the number of rows of the same key, for keys of two rows or more.
 
-    The counts are pre-aggregated; the join back has rows of one key on one side only once, so that Spark can split a hot key.
+    The counts are pre-aggregated, and the join back is on the key and one of ``SALTS`` parts of it, so that no task gets all rows of a
+    hot key.
     """
-    return rows.join(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), key)
+    counts = rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(member), F.lit(SALTS)).cast("int")).join(counts, [key, "salt"]).drop("salt")
 
 
 def block_pairs(rows: DataFrame, key: str, member: str, size: int) -> DataFrame:

@@ -1,11 +1,11 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Each class (toxic, ordinary) has a model of words: discounted counts of the class's own words, backing off to its letters. A letter
+Each class (toxic, ordinary) has a model of words: discounted numbers of the class's texts that hold a word, backing off to its letters. A letter
 (byte) is predicted from up to ``ORDER`` bytes before it in the word, by the class's continuation counts (distinct words, not
 occurrences); below that both classes back off to the same shared counts, so that an expression too rare for one class's own counts is
 smoothed by what both hold. A text's evidence is the difference of its two log-likelihoods, length-normalised over the whole text and
 over every window of ``WINDOW`` words; the largest window difference finds a short toxic passage in a long text. Both differences go
-through a logistic curve, fitted by cross-fitting: each half of the sample is scored by models of the other half.
+through a logistic curve, fitted by cross-fitting: each of ``FOLDS`` parts of the sample is scored by models of the others.
 
 Words are runs of ASCII letters, digits and bytes of other alphabets, lower-cased where ASCII. The sample is bounded: at most
 ``per_class`` labelled texts of each class, those of least hash of their id; of several labels of a document the largest counts.
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from ._common import chunks, lowered, mix, slice_hashes, string_column
 from .bpe import gather
 
-ORDER, WINDOW, DISCOUNT = 5, 6, 0.75
+ORDER, WINDOW, FOLDS, CENTRE = 6, 3, 5, 0.5
+DISCOUNT, WORD_DISCOUNT = 0.9, 1.0  # a word of a single text says nothing of its class by itself
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -113,7 +114,7 @@ class Model:
             for c in (0, 1):
                 spelt[c, active] += np.log(self.own[c].smoothed(contexts[0], grams[0], below))
         spelt = np.exp(np.maximum(spelt, -600))
-        p = [np.maximum(self.words[c].get(keys) - DISCOUNT, 0) / self.mass[c][0] + self.mass[c][1] * spelt[c] for c in (0, 1)]
+        p = [np.maximum(self.words[c].get(keys) - WORD_DISCOUNT, 0) / self.mass[c][0] + self.mass[c][1] * spelt[c] for c in (0, 1)]
         return np.log(np.maximum(p[1], 1e-290)) - np.log(np.maximum(p[0], 1e-290))
 
 
@@ -126,6 +127,7 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
         keys, label = slice_hashes(raw, s, e), toxic[first + row]
         for c in (0, 1):
             own = np.flatnonzero(label == c)
+            own = own[np.unique(mix(keys[own] + mix(row[own].astype(np.uint64))), return_index=True)[1]]  # a word counts once a text
             kind, where, count = np.unique(keys[own], return_index=True, return_counts=True)
             size = (e - s)[own[where]]
             pieces[c].append((kind, count, size, gather(raw, s[own[where]], size)[0]))
@@ -133,7 +135,7 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
     for c in (0, 1):
         keys, count, size, raw = (np.concatenate([p[i] for p in pieces[c]]) for i in range(4))
         words.append(Table(keys, count))
-        mass.append((max(1.0, float(count.sum())), DISCOUNT * len(words[c].keys) / max(1, count.sum())))
+        mass.append((max(1.0, float(count.sum())), WORD_DISCOUNT * len(words[c].keys) / max(1, count.sum())))
         where = np.unique(keys, return_index=True)[1]
         end = np.cumsum(size)[where]
         levels: list[list[np.ndarray]] = [[] for _ in range(6)]
@@ -175,7 +177,8 @@ class Scorer:
         r = ratio[back]
         n = np.bincount(row, minlength=len(out))
         out[:, 0] = np.bincount(row, r, len(out)) / np.maximum(n, 1)
-        total = np.concatenate(([0], np.cumsum(np.maximum(r, 0))))
+        usual = np.minimum(out[:, 0], CENTRE)[row]  # what words of this text's language and style differ by anyway
+        total = np.concatenate(([0], np.cumsum(np.maximum(r - usual, 0))))
         begin = np.concatenate(([0], np.cumsum(n)))[row]
         here = np.arange(1, len(r) + 1)
         low = np.maximum(here - WINDOW, begin)
@@ -210,8 +213,8 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     for c in (0, 1):
         rank[toxic == c] = np.arange((toxic == c).sum())
     x, y = [], []
-    for half in (0, 1):
-        a, b = np.flatnonzero(rank % 2 == half), np.flatnonzero(rank % 2 != half)
+    for part in range(FOLDS):
+        a, b = np.flatnonzero(rank % FOLDS != part), np.flatnonzero(rank % FOLDS == part)
         if len(set(toxic[a].tolist())) == 2 and len(b):
             x.append(all_differences(train([texts[i] for i in a], toxic[a]), [texts[i] for i in b]))
             y.append(toxic[b])

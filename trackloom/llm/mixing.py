@@ -150,7 +150,7 @@ search AS (
   SELECT i + 1, ps, {step(even, 'a', 'b')}, {step(often, 'c', 'd')} FROM search WHERE i < {HALVINGS}),
 found AS (SELECT greatest(a, d) AS exponent FROM search WHERE i = {HALVINGS}),
 powers AS (SELECT source, tokens, all_tokens, CASE WHEN tokens > 0 THEN pow(CAST(tokens AS DOUBLE) / all_tokens, exponent) ELSE 0 END AS power FROM totals, everything, found),
-weights AS (SELECT *, power / sum(power) OVER () AS weight FROM powers),
+weights AS (SELECT *, CASE WHEN sum(power) OVER () > 0 THEN power / sum(power) OVER () ELSE 0 END AS weight FROM powers),
 quotas AS (SELECT *, CAST(floor({budget} * all_tokens * weight + 0.5) AS BIGINT) AS quota FROM weights),
 planned AS (
   SELECT source, weight, CASE WHEN tokens > 0 THEN quota // tokens ELSE 1 END AS passes, CASE WHEN tokens > 0 THEN quota % tokens ELSE 0 END AS rest,

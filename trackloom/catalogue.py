@@ -389,12 +389,14 @@ def _(spark, d):
 
 @query("j02_u03_clean_points", short("SELECT speeds.* FROM speeds JOIN flags USING (track_id) WHERE NOT is_noise", TRAJ, METRICS), f"{TRAJ_COLUMNS} speed accel")
 def _(spark, d):
-    return cleaning.split(speeds(spark, d, B), flags(spark, d))[0]
+    points = speeds(spark, d, B)
+    return cleaning.split(points, cleaning.flagged_tracks(points))[0]
 
 
 @query("j01_u03_noise_points", short("SELECT speeds.* FROM speeds JOIN flags USING (track_id) WHERE is_noise", TRAJ, METRICS), f"{TRAJ_COLUMNS} speed accel")
 def _(spark, d):
-    return cleaning.split(speeds(spark, d, B), flags(spark, d))[1]
+    points = speeds(spark, d, B)
+    return cleaning.split(points, cleaning.flagged_tracks(points))[1]
 
 
 @query("a12_flag_counts", short(" UNION ALL ".join(f"SELECT '{f}' AS flag, count(*) FILTER ({f}) AS n, avg(CAST({f} AS DOUBLE)) AS fraction FROM flags" for f in (*cleaning.FLAGS, "is_noise")), TRAJ, METRICS), "fraction")

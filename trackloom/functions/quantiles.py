@@ -13,12 +13,20 @@ ACCURACY = 2_000
 
 
 def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
-    """Linearly interpolated quantiles, None for a column without values.
+    """Linearly interpolated quantiles, None for a column without values. The column is kept (in memory or on disk) between passes."""
+    values = df.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)").persist()
+    try:
+        return _quantiles(values, shares)
+    finally:
+        values.unpersist()
+
+
+def _quantiles(values: DataFrame, shares: list[float]) -> list[float | None]:
+    """Quantiles of the column v.
 
     Each pass counts what lies below a bracket around every rank still sought and sketches inside it, which narrows the bracket by a
     factor of some hundreds; a bracket of few distinct values is read with their counts. No task and not the driver holds the column.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
     whole = values.agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).first()
     if not whole.n:
         return [None] * len(shares)

@@ -37,7 +37,11 @@ def noise_flags(metrics: DataFrame, speed_limit: float | None, accel_limit: floa
 
 def flagged_tracks(moving: DataFrame) -> DataFrame:
     """Metrics with flags; the limits are the 99th percentiles over all points, exact."""
-    speed, accel = exact_quantiles(moving, "speed", [EXTREME])[0], exact_quantiles(moving, "accel", [EXTREME])[0]
+    points = moving.select("speed", "accel").persist()
+    try:
+        speed, accel = exact_quantiles(points, "speed", [EXTREME])[0], exact_quantiles(points, "accel", [EXTREME])[0]
+    finally:
+        points.unpersist()
     return noise_flags(track_metrics(moving), speed, accel)
 
 

@@ -91,15 +91,19 @@ def first_tracks(clusters: DataFrame, n: int) -> DataFrame:
 
 def exit_groups(ends: DataFrame, k: int = 8, starts: int = 10, seed: int = 42) -> DataFrame:
     """track_id and exit_group: k-means on exit points, the best of several starts, groups numbered by their centres' place."""
+    from multiprocessing.pool import ThreadPool
+
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
     points = VectorAssembler(inputCols=["x_exit", "y_exit"], outputCol="features").transform(ends.where("x_exit is not null and y_exit is not null").select("track_id", "x_exit", "y_exit")).persist()
-    n = points.limit(k).count()
+    n = points.count()  # and keeps the points
     if n < k:
         points.unpersist()
         raise ValueError(f"{k} groups need at least {k} tracks, there are {n}")
-    best = min((KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="group").fit(points) for i in range(starts)), key=lambda m: m.summary.trainingCost)
+    with ThreadPool(min(4, starts)) as pool:  # starts are jobs of their own
+        fitted = pool.map(lambda i: KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="group").fit(points), range(starts))
+    best = min(fitted, key=lambda m: m.summary.trainingCost)
     rank = {g: i for i, (_, g) in enumerate(sorted((tuple(c), g) for g, c in enumerate(best.clusterCenters())))}
     number = F.element_at(F.create_map(*[F.lit(x) for kv in rank.items() for x in kv]), F.col("group"))
     return best.transform(points).select("track_id", number.cast("int").alias("exit_group"))

@@ -61,9 +61,8 @@ class Table:
 class Grams:
     """Discounted counts of a byte after a context."""
 
-    def __init__(self, context: np.ndarray, gram: np.ndarray) -> None:
-        self.gram = Table(gram, np.ones(len(gram)))
-        self.total = Table(context, np.ones(len(context)))
+    def __init__(self, context: np.ndarray, gram: np.ndarray, n: np.ndarray) -> None:
+        self.gram, self.total = Table(gram, n), Table(context, n)
         seen, first = np.unique(gram, return_index=True)
         self.kinds = Table(context[first], np.ones(len(seen)))
 
@@ -96,6 +95,18 @@ def letters(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[t
         active, place = active[keep], place + 1
 
 
+def tallied(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 50_000) -> list[list[np.ndarray]]:
+    """[contexts, grams, counts] for each context length: each ``step`` words are reduced to distinct grams before the next are read."""
+    parts: list[list[tuple[np.ndarray, ...]]] = [[], [], []]
+    for k in range(0, len(starts), step):
+        found = [(contexts, grams) for _, contexts, grams in letters(raw, starts[k : k + step], ends[k : k + step])]
+        for i, part in enumerate(parts):
+            gram, first, n = np.unique(np.concatenate([g[i] for _, g in found]), return_index=True, return_counts=True)
+            part.append((np.concatenate([c[i] for c, _ in found])[first], gram, n))
+    none = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+    return [[np.concatenate([p[j] for p in part] or [none[j]]) for j in range(3)] for part in parts]
+
+
 @dataclass
 class Model:
     words: list[Table]
@@ -138,15 +149,10 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
         mass.append((max(1.0, float(count.sum())), WORD_DISCOUNT * len(words[c].keys) / max(1, count.sum())))
         where = np.unique(keys, return_index=True)[1]
         end = np.cumsum(size)[where]
-        levels: list[list[np.ndarray]] = [[] for _ in range(6)]
-        for _, contexts, grams in letters(raw, end - size[where], end):
-            for i, x in enumerate((*contexts, *grams)):
-                levels[i].append(x)
-        flat = [np.concatenate(x) for x in levels]
-        del levels
-        own_grams.append(Grams(flat[0], flat[3]))
-        pooled.append(flat[1:3] + flat[4:])
-    shared = [Grams(*(np.concatenate([p[i + 2 * j] for p in pooled]) for j in (0, 1))) for i in (0, 1)]
+        counts = tallied(raw, end - size[where], end)
+        own_grams.append(Grams(*counts[0]))
+        pooled.append(counts[1:])
+    shared = [Grams(*(np.concatenate([p[i][j] for p in pooled]) for j in range(3))) for i in (0, 1)]
     return Model(words, mass, own_grams, shared, np.zeros(3))
 
 

@@ -17,7 +17,7 @@ from trackloom.llm import bpe, chosen_path, langid, mixing, pii
 from trackloom.llm._common import checkpointed, shared_folder
 
 #: A document is rejected if no language is likelier than this, or if it has no letters.
-LEAST_LANGUAGE_SCORE = 0.4
+LEAST_LANGUAGE_SCORE = 0.3
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -153,7 +153,7 @@ def pairs_in(at: np.ndarray, groups: np.ndarray, side: np.ndarray) -> Iterator[t
             yield i[across], j[across]
 
 
-def near_vectors(table: DataFrame, least: float = 0.98, tables: int = 4, width: int = 3, probes: int = 4, block: int = 1000) -> DataFrame:
+def near_vectors(table: DataFrame, least: float = 0.98, tables: int = 4, width: int = 3, probes: int = 4, block: int = 400) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
     drawn = checkpointed(hashed(table, tables, width, probes))
     vertices = checkpointed(

@@ -61,7 +61,8 @@ class Estimated:
         return self.estimator
 
     def fit_predict(self, train: DataFrame, test: DataFrame) -> DataFrame:
-        train, test = self.features(train), self.features(test)
+        train, test = self.features(train).persist(), self.features(test).persist()  # vectors are made once
+        train.count()
         named = StringIndexer(inputCol="label", outputCol="code", stringOrderType="alphabetAsc").fit(train)
         width = len(train.select("vector").first()[0])
         model = Pipeline(stages=[named, self.make(width, len(named.labels))]).fit(train)

@@ -38,3 +38,14 @@ def test_entry_without_the_text_operators(spark, monkeypatch):
     monkeypatch.setattr(__spark_entry__, "corpus_pipeline", None)
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries()) == set(catalogue.QUERIES)
+
+
+def test_mann_whitney_of_all_events(spark, duck, tmp_path):
+    """Ids from 2000 on count too."""
+    duck.sql("select event_id, value from events union all select event_id + 5000, value + event_id % 2 from events").write_parquet(str(tmp_path / "events.parquet"))
+    (got,) = catalogue.QUERIES["m09_mann_whitney_u_all"](spark, str(tmp_path)).collect()
+    other = duckdb.connect()
+    other.sql(f"create view events as select * from read_parquet('{tmp_path}/events.parquet')")
+    assert got.u == pytest.approx(other.sql(catalogue.ORACLE["m09_mann_whitney_u_all"]).fetchall()[0][0])
+    assert got.u == pytest.approx(other.sql(catalogue.MANN.replace(" WHERE event_id < 2000", "")).fetchall()[0][0])
+    assert got.u != other.sql(catalogue.MANN).fetchall()[0][0]

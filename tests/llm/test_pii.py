@@ -88,3 +88,20 @@ def test_rows_and_redaction(spark):
     clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
     assert clean[50] == "mail [EMAIL] or [PHONE]" and clean[1] is None and clean[7] == "x" * 200_000
     assert pii.find(documents(spark, [])).count() == 0 and pii.redact(docs).schema == docs.schema
+
+
+def test_no_start_position_loses_a_span(monkeypatch):
+    """With tags that are always right, the whole span is found wherever it starts, and nothing else."""
+    sign = pii.symbols("@")[0]
+    monkeypatch.setattr(pii, "forward", lambda model, x: (x, None))
+    monkeypatch.setattr(pii, "viterbi", lambda model, x: np.where(x == sign, np.where(np.roll(x == sign, 1, 1) & (np.arange(x.shape[1]) > 0), 2, 1), 0))
+    reader = pii.Reader(None)
+    for size in (*range(17, 61), 95):
+        texts = ["w" * (200 + k) + "@" * size + "w" * 200 for k in range(32)]
+        assert reader.decode(texts) == [[(0, 200 + k, 200 + k + size)] for k in range(32)]
+
+
+def test_long_spans_of_the_model_at_all_starts(model):
+    texts = ["the word " * 8 + "x" * k + " 4111.1111.1111.1111 word and the other word " * 1 + "word the " * 8 for k in range(32)]
+    got = [any(kind == 2 for kind, _, _ in every) for _, every in pii.Reader(model).spans(texts)]
+    assert sum(got) >= 31

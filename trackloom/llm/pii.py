@@ -9,10 +9,12 @@ of tags (begin and inside of each kind, and outside) under learned transitions.
 It is trained in numpy, by gradient descent on the CRF's likelihood with back-propagation through time, from labelled spans: sentences
 of a seeded generator whose spans are known. Training takes some seconds on the driver, and the model is a few kilobytes.
 
-Texts are read in windows of ``WINDOW`` characters that overlap by half. A window without an anchor, a digit or an ``@``, holds no span
+Texts are read in windows of ``READ`` characters that start every ``STRIDE``. A window without an anchor, a digit or an ``@``, holds no span
 of these kinds by definition, and is not read; every other window of every text is. Overlapping windows are reconciled globally: a span
-counts if no window that holds it whole, with ``MARGIN`` characters to spare or the text's own edge, disagrees. A span must pass its
-kind's own test of digits, and must not overlap a base span or an earlier span of the model's.
+counts if no window that holds it whole, with ``MARGIN`` characters to spare or the text's own edge, disagrees; if there is none, those
+with one character to spare decide. So a span of up to READ - STRIDE - 1 = 95 characters is held by some window wherever it starts; a
+longer one that only the model can find may be lost. A span must pass its kind's own test of digits, and must not overlap a base span or
+an earlier span of the model's.
 
 Null texts count as empty and have no spans. Texts of any length are read whole, in time linear in their length; positions are code
 points. Repeated rows stand alone; further columns are ignored; an empty table gives no rows.
@@ -40,6 +42,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 WINDOW, MARGIN = 64, 8
+READ, STRIDE = 128, 32
 HIDDEN, EMBED = 24, 12
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
 _ANCHOR = re.compile(r"[0-9@]")
@@ -336,38 +339,37 @@ class Reader:
 
     def decode(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """The spans that all windows agree on, for each text."""
-        half = WINDOW // 2
         where: list[tuple[int, int]] = []
         for i, text in enumerate(texts):
-            hit = sorted({p for m in _ANCHOR.finditer(text) for p in (m.start() // half - 1, m.start() // half) if p >= 0})
-            where += [(i, p * half) for p in hit]
-        found: list[dict[tuple[int, int, int], int]] = [{} for _ in texts]
+            hit = sorted({p for m in _ANCHOR.finditer(text) for p in range(max(0, (m.start() - READ) // STRIDE + 1), m.start() // STRIDE + 1)})
+            where += [(i, p * STRIDE) for p in hit]
+        found: list[dict[tuple[int, int, int], set[int]]] = [{} for _ in texts]
         read: list[set[int]] = [set() for _ in texts]
         for k in range(0, len(where), self.batch):
             part = where[k : k + self.batch]
-            x = np.full((len(part), WINDOW), PAD)
+            x = np.full((len(part), READ), PAD)
             for j, (i, first) in enumerate(part):
-                s = symbols(texts[i][first : first + WINDOW])
+                s = symbols(texts[i][first : first + READ])
                 x[j, : len(s)] = s
             tags = viterbi(self.model, forward(self.model, x)[0])
             for j, (i, first) in enumerate(part):
                 read[i].add(first)
                 if tags[j].any():
-                    size = min(WINDOW, len(texts[i]) - first)
+                    size = min(READ, len(texts[i]) - first)
                     for kind, a, b in tag_spans(tags[j, :size].tolist()):
-                        key = (kind, first + a, first + b)
-                        found[i][key] = found[i].get(key, 0) + 1
+                        found[i].setdefault((kind, first + a, first + b), set()).add(first)
         return [[s for s, votes in sorted(f.items(), key=lambda x: x[0][1:]) if self.agreed(s, votes, read[i], len(texts[i]))] for i, f in enumerate(found)]
 
     @staticmethod
-    def agreed(span: tuple[int, int, int], votes: int, read: set[int], length: int) -> bool:
-        half, (_, a, b) = WINDOW // 2, span
-        whole = 0
-        for p in range(max(0, (b - WINDOW) // half), a // half + 1):
-            first = p * half
-            if first in read and (first == 0 or first + MARGIN <= a) and (first + WINDOW >= length or b + MARGIN <= first + WINDOW):
-                whole += 1
-        return whole > 0 and votes >= whole
+    def agreed(span: tuple[int, int, int], votes: set[int], read: set[int], length: int) -> bool:
+        """votes: the windows that found the span."""
+        _, a, b = span
+        near = [p * STRIDE for p in range(max(0, (b - READ) // STRIDE), a // STRIDE + 1) if p * STRIDE in read]
+        for margin in (MARGIN, 1):
+            whole = {first for first in near if (first == 0 or first + margin <= a) and (first + READ >= length or b + margin <= first + READ)}
+            if whole:
+                return whole <= votes
+        return False
 
     def spans(self, texts: list[str]) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
         """(base spans, all spans) of each text, by kind and start."""

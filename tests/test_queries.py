@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from trackloom import catalogue
 
@@ -49,3 +50,17 @@ def test_mann_whitney_of_all_events(spark, duck, tmp_path):
     assert got.u == pytest.approx(other.sql(catalogue.ORACLE["m09_mann_whitney_u_all"]).fetchall()[0][0])
     assert got.u == pytest.approx(other.sql(catalogue.MANN.replace(" WHERE event_id < 2000", "")).fetchall()[0][0])
     assert got.u != other.sql(catalogue.MANN).fetchall()[0][0]
+
+
+def test_cross_validation_and_grid_search_are_whole(spark, monkeypatch):
+    """10 folds, 3 times; 27 combinations."""
+    fits = []
+    monkeypatch.setattr(catalogue.classify, "make_model", lambda kind: type("Model", (), {"fit_predict": lambda self, train, test: fits.append(kind) or test.select("track_id", F.lit(0).alias("prediction"))})())
+    for kind in ("knn", "svm", "dt", "mlp"):
+        (name,) = (n for n in catalogue.QUERIES if n.endswith(f"cross_validated_{kind}"))
+        assert "repeat" in catalogue.QUERIES[name](spark, FOLDER).columns
+    assert [fits.count(k) for k in ("knn", "svm", "dt", "mlp")] == [30] * 4
+    grid = []
+    monkeypatch.setattr(catalogue.optics, "grid_search", lambda ends, columns, **g: grid.append(g) or spark.range(0).select(*(F.lit(0).alias(c) for c in ("n_clusters", "min_samples", "xi", "max_eps"))))
+    catalogue.QUERIES["m13_f11_t08_grid_search"](spark, FOLDER)
+    assert [len(v) for v in grid[0].values()] == [3, 3, 3]

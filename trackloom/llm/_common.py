@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -16,11 +17,6 @@ from pyspark.sql import functions as F
 #: Bytes of text that one vectorised pass handles; a longer single text is a pass of its own.
 CHUNK = 2 << 20
 
-MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
-INVERSE = np.uint64(pow(int(MULT), -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,9 +27,13 @@ def fold(column: str, modulus: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a new folder."""
+    """The session's ``spark.checkpoint.dir``. Where that is unset, a new temporary folder if Spark runs on one machine, else an error."""
     set_ = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return set_ or _own.setdefault("folder", os.path.join(tempfile.gettempdir(), f"shared-{uuid.uuid4().hex}"))
+    if set_:
+        return set_
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all machines share")
+    return _own.setdefault("folder", os.path.join(tempfile.gettempdir(), f"shared-{uuid.uuid4().hex}"))
 
 
 _own: dict[str, str] = {}
@@ -47,6 +47,36 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder that Spark wrote."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget(*dfs: DataFrame) -> None:
+    """Delete the files of checkpointed tables that nothing reads any more."""
+    for df in dfs:
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            remove(df.sparkSession, file.get())
+
+
+def unused(columns: list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column has, whatever the case of its letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> Column:
+    """The column of this very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def string_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return pc.fill_null(batch.column(batch.schema.get_field_index(name)).cast(pa.large_string()), "")
 
@@ -72,18 +102,6 @@ def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.nd
         first = end
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """MULT ** i and INVERSE ** i modulo 2 ** 64 for i < n."""
-    if "up" not in _powers or len(_powers["up"]) < n:
-        n = max(n, CHUNK + 16)
-        with np.errstate(over="ignore"):
-            for name, base in (("up", MULT), ("down", INVERSE)):
-                x = np.full(n, base, np.uint64)
-                x[0] = 1
-                _powers[name] = np.multiply.accumulate(x)
-    return _powers["up"], _powers["down"]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every input bit."""
     with np.errstate(over="ignore"):
@@ -94,13 +112,44 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
-def slice_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every slice raw[start:end], by prefix sums of a polynomial modulo 2 ** 64."""
-    up, down = powers(len(raw) + 1)
+#: Slices of more bytes are hashed one by one.
+_LONG = 512
+_KEY = b"slices of text"
+_TAIL = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def slice_digests(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, halves: int = 2) -> list[np.ndarray]:
+    """A 128-bit hash of every slice raw[start:end], as two arrays of 64 bits; ``halves`` = 1 gives the first only.
+
+    Eight bytes at a time go through a bijective mixer, with the length as the seed, so slices of the same length up to eight bytes never
+    share a hash and no structure of longer ones cancels out; slices of more than ``_LONG`` bytes get a keyed BLAKE2 hash.
+    """
+    n = len(starts)
+    length = (ends - starts).astype(np.int64)
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+    seeds = mix(length.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(0x2545F4914F6CDD1D))
+    out = [seeds, mix(seeds + np.uint64(0x9FB21C651E98DF25))][:halves]
+    factor = (np.uint64(1), np.uint64(0x9E3779B97F4A7C15))
+    active, place = np.flatnonzero(length <= _LONG), 0
+    active = active[length[active] > 0]
     with np.errstate(over="ignore"):
-        prefix = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=prefix[1:])
-        return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        while len(active):
+            block = eight[starts[active] + place] & _TAIL[np.minimum(length[active] - place, 8)]
+            for half, f in zip(out, factor, strict=False):
+                half[active] = mix(half[active] ^ (block * f))
+            place += 8
+            active = active[length[active] > place]
+    for i in np.flatnonzero(length > _LONG).tolist():
+        digest = np.frombuffer(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=16, key=_KEY).digest(), np.uint64)
+        for half, d in zip(out, digest, strict=False):
+            half[i] = d
+    return out
+
+
+def slice_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The first 64 bits of ``slice_digests``."""
+    return slice_digests(raw, starts, ends, 1)[0]
 
 
 _SPACE = np.zeros(256, bool)

@@ -14,19 +14,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import checkpointed
 
-#: Parts that the rows of a key are dealt to.
-SALTS = 16
+#: A key is hot if it has more rows than this, and than this share of all rows: at most so many keys can be hot.
+HOT_ROWS, HOT_KEYS = 1000, 50_000
 
 
-def sized(rows: DataFrame, key: str, member: str = "vertex") -> DataFrame:
-    """``rows`` with n, the number of rows of the same key, for keys of two rows or more.
+def counts_of(rows: DataFrame, key: str) -> DataFrame:
+    """key, n: the rows of each key, checkpointed."""
+    return checkpointed(rows.groupBy(key).agg(F.count("*").alias("n")))
+
+
+def dealt_join(rows: DataFrame, side: DataFrame, key: str, member: str, counts: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``side``, which has one row for a key; ``counts``: (key, n) of all keys that may be hot, None if none can.
 
-    The counts are pre-aggregated, and the join back is on the key and one of ``SALTS`` parts of it, so that no task gets all rows of a
-    hot key.
+    A key with more than ``HOT_ROWS`` rows and more than one in ``HOT_KEYS`` of all rows is dealt over n / that many parts, by the hash of
+    ``member``. As at most ``HOT_KEYS`` keys can be, their list is broadcast; without one the join is a plain one.
     """
-    counts = rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64(member), F.lit(SALTS)).cast("int")).join(counts, [key, "salt"]).drop("salt")
+    if counts is None:
+        return rows.join(side, key, how)
+    about = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    part = max(HOT_ROWS, about["all"] // HOT_KEYS)
+    if about["most"] <= part:
+        return rows.join(side, key, how)
+    hot = F.broadcast(counts.where(F.col("n") > part).select(key, F.ceil(F.col("n") / part).cast("int").alias("parts")))
+    dealt = rows.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64(member), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    copies = side.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copies, [key, "salt"], how).drop("salt")
+
+
+def sized(rows: DataFrame, key: str, member: str = "vertex") -> DataFrame:
+    """``rows`` with n, the number of rows of the same key, for keys of two rows or more; no task gets all rows of a hot key."""
+    counts = checkpointed(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"))
+    return dealt_join(rows, counts, key, member, counts)
 
 
 def block_pairs(rows: DataFrame, key: str, member: str, size: int) -> DataFrame:

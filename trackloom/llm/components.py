@@ -5,46 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpointed
+from ._common import checkpointed, forget
+from .blocks import HOT_ROWS, counts_of, dealt_join
 
 
-#: Parts that a node's edges are dealt to.
-SALTS = 16
+def _star(edges: DataFrame, size: int) -> DataFrame:
+    """One large-star and one small-star step over ``size`` edges (a, b), a > b; no step keeps more rows than it was given edges, twice.
 
-
-def _star(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step over edges (a, b) with a > b; no step keeps more rows than it was given edges, twice.
-
-    A node's least neighbour is found by partial aggregation. In the large star only nodes that have a smaller neighbour move their
-    larger ones, so the centre of a star, which may hold a third of all edges, is dealt to no task by its key: edges are told apart from
-    those that move by a join with the nodes that have a parent, split over ``SALTS`` parts of each node.
+    A node's least neighbour is found by partial aggregation. Edges are told their node's parent by joins that deal the edges of a hot
+    node, such as the centre of a star with a third of all edges, over as many parts as its count asks for.
     """
-    parent = checkpointed(edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")))
-    salted = parent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = edges.withColumns({"u": F.col("b"), "salt": F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")})
-    large = checkpointed(dealt.join(salted, ["u", "salt"], "left").select("a", F.coalesce("m", "b").alias("b")).distinct())
+    parent = edges.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
+    degree = counts_of(edges, "b") if size > HOT_ROWS else None
+    large = checkpointed(dealt_join(edges, parent, "b", "a", degree, "left").select("a", F.coalesce("m", "b").alias("b")).distinct())
     lowest = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    single = lowest.select("a", F.col("m").alias("b"))
-    several = lowest.where("n > 1").select("a", "m")
-    moved = large.join(several, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionAll(single).distinct()
+    several = lowest.where("n > 1")
+    busy = checkpointed(several.select("a", "n")) if size > HOT_ROWS else None
+    moved = dealt_join(large, several.select("a", "m"), "a", "b", busy).where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    out = checkpointed(moved.unionAll(lowest.select("a", F.col("m").alias("b"))).distinct())
+    forget(*(x for x in (degree, large, busy) if x is not None))
+    return out
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in the edges (a, b): component is the smallest id that edges reach.
 
-    Nulls and loops are ignored, repeated edges and directions do not matter; no edges give no rows. Each round is written to the
-    checkpoint folder, so a lost executor costs at most a round.
+    Nulls and loops are ignored, repeated edges and directions do not matter; no edges give no rows. Rounds go on until one changes
+    nothing, however many that takes. Each is written to the checkpoint folder, so a lost executor costs at most a round, and removed when
+    the next one stands.
     """
     now = checkpointed(
         edges.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("a is not null and b is not null and a <> b").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     )
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-    before = mark(now)
-    for _ in range(rounds if before[0] else 0):
-        now = checkpointed(_star(now))
-        after = mark(now)
-        if after == before:
-            break
-        before = after
+    before, after = None, mark(now)
+    while after != before and after[0]:
+        new = _star(now, after[0])
+        forget(now)
+        now, before, after = new, after, mark(new)
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

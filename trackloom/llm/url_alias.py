@@ -6,7 +6,7 @@ one, it is allowed if any member of its component is allowed by a rule, else blo
 
 A URL without ``://`` or a null one has an empty host and path, fits no rule and takes part in no edge. A null page has no links. Of
 several canonical or refresh tags the first counts; repeated pages and further columns need no care; no pages give no rows. Two URLs
-are one node if host (lower case), path and query agree; scheme and fragment do not matter.
+are one node if host (lower case), path and query agree as text; scheme and fragment do not matter.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import checkpointed
+from .blocks import counts_of, dealt_join
 from .components import connected_components
 
 #: (verdict, host and path)
@@ -83,19 +84,26 @@ def links(pages: DataFrame) -> DataFrame:
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """page_id, host, path, rule and verdict of every page."""
-    ends = checkpointed(links(pages).select("url", "target").distinct())
-    key = lambda c: F.xxhash64(node(F.col(c)))
-    groups = connected_components(ends.select(key("url").alias("a"), key("target").alias("b")))
-    named = ends.select(F.explode(F.array("url", "target")).alias("url")).distinct()
-    decided = named.select(key("url").alias("id"), rule_of(host(F.col("url")), path(F.col("url")), rules, True).alias("says")).where("says is not null").distinct()
-    shared = (
-        groups.join(decided, "id").groupBy("component").agg(F.when(F.max((F.col("says") == "allow").cast("int")) == 1, "allow").otherwise("block").alias("says"))
+    key = lambda c: node(F.col(c))
+    ends = checkpointed(links(pages).select(key("url").alias("node"), key("target").alias("other")).distinct())
+    # A node is numbered by its row in a written table, so two URLs share a number only if they are the same text.
+    split = F.split("node", r"\?", 2)[0]
+    nodes = checkpointed(
+        ends.select(F.explode(F.array("node", "other")).alias("node")).distinct()
+        .select("node", F.monotonically_increasing_id().alias("id"), rule_of(F.substring_index(split, "/", 1), F.regexp_extract(split, r"(?s)^[^/]*(.*)$", 1), rules, True).alias("says"))
     )
-    by_node = groups.join(shared, "component").select("id", "says")
-    own = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), F.when(F.locate("://", F.col("url")) > 0, key("url")).alias("id"))
-    judged = own.withColumns({"rule": rule_of(F.col("host"), F.col("path"), rules), "own": rule_of(F.col("host"), F.col("path"), rules, True)})
-    settled = judged.where("own is not null or id is null").select("page_id", "host", "path", "rule", F.coalesce("own", F.lit("allow")).alias("verdict"))
-    open_ = judged.where("own is null and id is not null").join(by_node, "id", "left").select("page_id", "host", "path", "rule", F.coalesce("says", F.lit("allow")).alias("verdict"))
+    numbers = nodes.select("node", "id")
+    first = dealt_join(ends, numbers, "node", "other", counts_of(ends, "node")).select(F.col("id").alias("a"), F.col("other").alias("node"))
+    edges = dealt_join(first, numbers, "node", "a", counts_of(first, "node")).select("a", F.col("id").alias("b"))
+    groups = connected_components(edges)
+    decided = nodes.where("says is not null").select("id", "says")
+    shared = groups.join(decided, "id").groupBy("component").agg(F.when(F.max((F.col("says") == "allow").cast("int")) == 1, "allow").otherwise("block").alias("says"))
+    # A component with a third of all nodes has one row on the side that decides; its other side is dealt over parts.
+    by_node = dealt_join(groups, shared, "component", "id", counts_of(groups, "component")).join(numbers, "id").select("node", "says")
+    judged = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), key("url").alias("node"))
+    judged = judged.withColumns({"rule": rule_of(F.col("host"), F.col("path"), rules), "own": rule_of(F.col("host"), F.col("path"), rules, True)})
+    settled = judged.where("own is not null or node is null").select("page_id", "host", "path", "rule", F.coalesce("own", F.lit("allow")).alias("verdict"))
+    open_ = judged.where("own is null and node is not null").join(by_node, "node", "left").select("page_id", "host", "path", "rule", F.coalesce("says", F.lit("allow")).alias("verdict"))
     return settled.unionAll(open_)
 
 

@@ -53,3 +53,21 @@ def test_like_brute_force(spark, options):
 def test_no_documents_and_no_words(spark):
     assert chosen_path.join(documents(spark, [])).count() == 0
     assert sorted(map(tuple, chosen_path.join(documents(spark, ODD[1:4])).collect())) == [(1, 1, 0), (2, 2, 0), (3, 3, 0)]
+
+
+def thue_morse(k, swapped=False):
+    s = "a"
+    for _ in range(k):
+        s = "".join("ab" if c == "a" else "ba" for c in s)
+    return s.translate(str.maketrans("ab", "ba")) if swapped else s
+
+
+def test_rows_without_ids_and_twin_words(spark):
+    text = [f"w{i}" for i in range(60)]
+    near = " ".join([*text[:-1], "other"])
+    rows = [(4, " ".join(text), "en", "s", 0, 0.5, 1), (None, near, "en", "s", 0, 0.5, 1), (None, near, "en", "s", 0, 0.5, 1), (None, "no link here", "en", "s", 0, 0.5, 1)]
+    rows += [(20 + 2 * k + s, thue_morse(k, s), "en", "s", 0, 0.5, 1) for k in (10, 11, 12) for s in (0, 1)]
+    got = sorted(map(tuple, chosen_path.join(documents(spark, rows)).collect()), key=repr)
+    assert got == brute(rows) and (4, 4, 2) in got and (None, 4, 2) in got and (None, None, 0) in got
+    same = [(5, f"{i} " + " ".join(text), "en", "s", 0, 0.5, 1) for i in (1, 2, 2)] * 3  # one id, several texts, repeated rows
+    assert sorted(map(tuple, chosen_path.join(documents(spark, same)).collect())) == [(5, 5, 8)] * 9

@@ -25,22 +25,23 @@ def counts_of(rows: DataFrame, key: str) -> DataFrame:
     return checkpointed(rows.groupBy(key).agg(F.count("*").alias("n")))
 
 
-def dealt_join(rows: DataFrame, side: DataFrame, key: str, member: str, counts: DataFrame | None, how: str = "inner") -> DataFrame:
+def dealt_join(rows: DataFrame, side: DataFrame, key: str | list[str], member: str, counts: DataFrame | None, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``side``, which has one row for a key; ``counts``: (key, n) of all keys that may be hot, None if none can.
 
     A key with more than ``HOT_ROWS`` rows and more than one in ``HOT_KEYS`` of all rows is dealt over n / that many parts, by the hash of
     ``member``. As at most ``HOT_KEYS`` keys can be, their list is broadcast; without one the join is a plain one.
     """
+    keys = [key] if isinstance(key, str) else key
     if counts is None:
-        return rows.join(side, key, how)
+        return rows.join(side, keys, how)
     about = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
     part = max(HOT_ROWS, about["all"] // HOT_KEYS)
     if about["most"] <= part:
-        return rows.join(side, key, how)
-    hot = F.broadcast(counts.where(F.col("n") > part).select(key, F.ceil(F.col("n") / part).cast("int").alias("parts")))
-    dealt = rows.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64(member), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    copies = side.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    return dealt.join(copies, [key, "salt"], how).drop("salt")
+        return rows.join(side, keys, how)
+    hot = F.broadcast(counts.where(F.col("n") > part).select(*keys, F.ceil(F.col("n") / part).cast("int").alias("parts")))
+    dealt = rows.join(hot, keys, "left").withColumn("salt", F.pmod(F.xxhash64(member), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    copies = side.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copies, [*keys, "salt"], how).drop("salt")
 
 
 def sized(rows: DataFrame, key: str, member: str = "vertex") -> DataFrame:

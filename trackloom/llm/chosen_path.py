@@ -12,8 +12,12 @@ candidate components only. Each candidate component is then compared exactly, se
 links and the true links' components, the classes. Rows written grow with the texts and with blocks, not with pairs.
 
 Words are runs without ASCII white space, A-Z lower-cased. A text of fewer than ``size`` words is one shingle of all of them. Null and
-empty texts, and those of white space alone, have no links and are classes of their own. Copies count as links. A null id is no vertex's
-name but keeps its row. Rows repeated with the same id count as copies; an empty table gives no rows; further columns are ignored.
+empty texts, and those of white space alone, have no links and are classes of their own. Copies count as links. Rows without an id link
+like others, but name no class: a class without any id has a null class_id. Rows repeated with the same id count as copies; an empty
+table gives no rows; further columns are ignored.
+
+Sets are told apart by a 128-bit hash, and numbered by the table of distinct ones. A pair at the threshold is lost if no run puts it into
+one leaf (below 1 - ``recall``) or its signatures agree in less than threshold - margin (below 2e-5 at 64 tokens and the defaults).
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import checkpointed, chunks, lowered, mix, signed, slice_hashes, string_column, words
-from .blocks import block_pairs, forest, gathered, pairs_of, sized, whole_groups
+from .blocks import block_pairs, counts_of, dealt_join, forest, gathered, pairs_of, sized, whole_groups
 from .components import connected_components
 
 SIGNATURE = 64
@@ -58,13 +62,15 @@ def shingles(raw: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np
     return key, np.searchsorted(owner, np.arange(n + 1))
 
 
-def digests(key: np.ndarray, upto: np.ndarray) -> np.ndarray:
-    """One 64-bit name for each set."""
+def digests(key: np.ndarray, upto: np.ndarray) -> list[np.ndarray]:
+    """A 128-bit name of each set, as two arrays of 64 bits."""
     full = np.flatnonzero(np.diff(upto))
-    out = np.zeros(len(upto) - 1, np.uint64)
+    out = [np.zeros(len(upto) - 1, np.uint64) for _ in range(2)]
     if len(full):
+        size = np.diff(upto)[full].astype(np.uint64)
         with np.errstate(over="ignore"):
-            out[full] = mix(np.add.reduceat(mix(key), upto[full]) + np.diff(upto)[full].astype(np.uint64))
+            for half, seed in zip(out, (0x9FB21C651E98DF25, 0xA24BAED4963EE407), strict=True):
+                half[full] = mix(np.add.reduceat(mix(key + np.uint64(seed)), upto[full]) + size)
     return out
 
 
@@ -83,20 +89,29 @@ def signatures(key: np.ndarray, upto: np.ndarray) -> np.ndarray:
     return out
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id (null: -1, with no_id), two hashes of the text, and the text: what tells rows apart that are not repeated rows."""
+    ids = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(ids, F.lit(-1)).alias("row_id"), ids.isNull().alias("no_id"), F.xxhash64("text").alias("t0"), F.xxhash64(F.lit(1), "text").alias("t1"), "text")
+
+
+ROW = ["row_id", "no_id", "t0", "t1"]
+
+
 def sketch(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, vertex (null without shingles) and signature of every text."""
+    """ROW, two halves of the set's name (null without shingles) and the signature of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
             for first, end, raw, at in chunks(string_column(batch, "text"), 2 << 20):
                 key, upto = shingles(raw, at, size)
                 none = np.diff(upto) == 0
                 flat = signatures(key, upto)
                 packed = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, SIGNATURE, dtype=np.int32)), pa.array(flat.ravel()))
-                yield pa.RecordBatch.from_arrays([ids.slice(first, end - first), pa.array(signed(digests(key, upto)), mask=none), packed], names=["doc_id", "vertex", "tokens"])
+                names = [pa.array(signed(h), mask=none) for h in digests(key, upto)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, end - first) for i in range(4)), *names, packed], names=[*ROW, "h0", "h1", "tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, vertex long, tokens array<int>")
+    return keyed(docs).mapInArrow(run, "row_id long, no_id boolean, t0 long, t1 long, h0 long, h1 long, tokens array<int>")
 
 
 def walk(tokens: DataFrame, runs: int, depth: int, leaf: int, threshold: float) -> DataFrame:
@@ -204,35 +219,40 @@ def join(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall: float =
     one = threshold * (1 - (1 / threshold - 1)) + (1 - (1 - threshold) ** 2) * (1 / threshold - 1)
     runs = math.ceil(math.log(1 - recall) / math.log(1 - one**depth))
     drawn = checkpointed(sketch(docs, size))
-    vertices = checkpointed(drawn.where("vertex is not null").groupBy("vertex").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens")))
+    some = drawn.where("h0 is not null")
+    vertices = checkpointed(
+        some.groupBy("h0", "h1")
+        .agg(F.count("*").alias("copies"), F.min(F.when(~F.col("no_id"), F.col("row_id"))).alias("lowest"), F.min(F.struct("no_id", "row_id", "t0", "t1")).alias("row"), F.first("tokens").alias("tokens"))
+        .select(F.monotonically_increasing_id().alias("vertex"), "h0", "h1", "copies", "lowest", *(F.col(f"row.{c}").alias(c) for c in ROW), "tokens")
+    )
     tokens = vertices.select("vertex", "tokens")
     near = candidates(walk(tokens, runs, depth, leaf, threshold), tokens, block, threshold - margin)
     groups = connected_components(near)
 
-    wanted = sized(groups.withColumnRenamed("id", "vertex"), "component").join(vertices.select("vertex", "copies", "doc_id"), "vertex")
+    wanted = sized(groups.withColumnRenamed("id", "vertex"), "component").join(vertices.select("vertex", "copies", *ROW), "vertex")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, raw, at in chunks(string_column(batch, "text"), 2 << 20):
                 key, upto = shingles(raw, at, size)
                 part = batch.slice(first, end - first)
-                same = np.flatnonzero(signed(digests(key, upto)) == part.column(0).to_numpy())
-                if len(same):
-                    lists = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(signed(key)))
-                    out = pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), lists], names=["vertex", "component", "copies", "n", "shingles"])
-                    yield out.take(pa.array(same))
+                lists = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(signed(key)))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), lists], names=["vertex", "component", "copies", "n", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("shuffle_hash"), "doc_id").select("vertex", "component", "copies", "n", "text")
+    # A vertex is read from the one row that stands for it; repeated rows fall together before they are joined.
+    once = keyed(docs).groupBy(*ROW).agg(F.first("text").alias("text"))
+    texts = once.join(wanted.hint("shuffle_hash"), ROW).select("vertex", "component", "copies", "n", "text")
     sets = texts.mapInArrow(read, "vertex long, component long, copies long, n long, shingles array<long>")
     exact = checkpointed(compared(gathered(block_pairs(sets, "component", "vertex", block // 4), "component"), threshold))
     classes = connected_components(exact.select(F.col("vertex").alias("a"), F.col("root").alias("b")))
-    named = classes.join(vertices.select(F.col("vertex").alias("id"), "doc_id"), "id")
-    names = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    by_vertex = (
-        vertices.select("vertex", "copies", F.col("doc_id").alias("lowest"))
+    named = classes.join(vertices.select(F.col("vertex").alias("id"), "lowest"), "id")
+    names = named.groupBy("component").agg(F.min("lowest").alias("class_id"))
+    by_vertex = checkpointed(
+        vertices.select("vertex", "h0", "h1", "copies", "lowest")
         .join(exact.groupBy("vertex").agg(F.sum("links").alias("links")), "vertex", "left")
-        .join(classes.join(names, "component").select(F.col("id").alias("vertex"), "class_id"), "vertex", "left")
-        .select("vertex", F.coalesce("class_id", "lowest").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        .join(dealt_join(classes, names, "component", "id", counts_of(classes, "component")).select(F.col("id").alias("vertex"), F.struct("class_id").alias("class")), "vertex", "left")
+        .select("h0", "h1", F.when(F.col("class").isNotNull(), F.col("class.class_id")).otherwise(F.col("lowest")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n"))
     )
-    linked = drawn.where("vertex is not null").select("doc_id", "vertex").join(by_vertex, "vertex").select("doc_id", "class_id", "n_links")
-    return linked.unionByName(drawn.where("vertex is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    doc_id = F.when(~F.col("no_id"), F.col("row_id")).alias("doc_id")
+    linked = dealt_join(some.select("row_id", "no_id", "h0", "h1"), by_vertex.drop("n"), ["h0", "h1"], "row_id", by_vertex.select("h0", "h1", "n")).select(doc_id, "class_id", "n_links")
+    return linked.unionByName(drawn.where("h0 is null").select(doc_id, doc_id.alias("class_id"), F.lit(0).cast("long").alias("n_links")))

@@ -55,6 +55,20 @@ def test_links_and_components(spark, block):
     assert sorted(map(tuple, got)) == sorted(brute_links(rows))
 
 
+def test_magnitudes_lengths_and_labels(spark, tmp_path):
+    r = np.random.default_rng(1)
+    base = [float(v) for v in r.normal(size=5)]
+    big = [(10, [1e-170, 2e-170], "a"), (11, [2e-170, 4e-170], "a"), (12, [1e200, 2e200], "a"), (13, [2e200, 4e200], "a"), (14, [5e-324, 1e-323], "a"), (None, [1.0, 2.0], "a"), (None, [7.0, -2.0], "a")]
+    plain = [(i, [x * (1 + i) for x in base], "a" if i else "b") for i in range(4)] + [(20, [*base, 0.0, 0.0], "a"), (21, [0.0] * 65, "a")]
+    schema = "vec_id long, embedding array<double>, label string"
+    for k, part in enumerate((big, plain, [(30, base, "1.2"), (31, base, "1.7")])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "v"))
+    got = {(r.vec_id, i): (r.n_links, r.component_id) for i, r in enumerate(sorted(crosspoly.near_vectors(spark.read.parquet(str(tmp_path / "v"))).collect(), key=lambda r: (r.vec_id is None, r.vec_id or 0, r.n_links)))}
+    by = {k: v for (k, _), v in got.items() if k is not None}
+    assert all(by[i] == (5, 10) for i in range(10, 15)) and sorted((v for (k, _), v in got.items() if k is None), key=repr) == [(0, None), (5, 10)]
+    assert by[0] == (0, 0) and all(by[i] == (3, 1) for i in (1, 2, 3, 20)) and by[21] == (0, 21) and by[30] == (0, 30) and by[31] == (0, 31)
+
+
 def test_no_vectors(spark):
     assert crosspoly.near_vectors(table(spark, [])).count() == 0
     assert multi_index.nearest(table(spark, []), F.lit(True)).count() == 0

@@ -1,14 +1,16 @@
 """Near-duplicate vectors by cross-polytope hashing (Andoni et al., 2015).
 
-A vector, padded with zeros to a power of two, is rotated by three rounds of random signs and a fast Hadamard transform; its hash is the
+A vector, padded with zeros to the power of two that holds the table's longest one, is rotated by three rounds of random signs and a fast Hadamard transform; its hash is the
 signed axis it lies closest to. ``width`` such hashes make a bucket of a table. Multiprobe: in each of ``tables`` tables a vector is put
 into the ``probes`` buckets that cost it least, the loss of a bucket being how much shorter its axes' coordinates are than the best. At
 cosine 0.98 in 64 dimensions the defaults miss a pair with probability below 1e-4 (simulated), and a link is lost only if its whole
 component falls apart. Pairs in a bucket are verified by their cosine in double precision; buckets of any size are compared in blocks.
 Then each component of verified links is compared again within itself, in blocks, which counts all its links.
 
-Only vectors with the same label, not null, are compared. Equal vectors of a label are one vertex with a number of copies, and copies
-count as links. Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do those without a label:
+Only vectors with the same label, not null and of whatever type (known by a 64-bit hash), are compared. Equal vectors of a label (trailing
+zeros aside, by a 128-bit hash) are one vertex with a number of copies, and copies count as links. Vectors are scaled by their largest
+component before their length is taken, so very small and very large ones have their true cosines. Rows without an id link like others; a
+component of such rows alone has none as its component_id. Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do those without a label:
 they are components of their own. Rows with equal ids count as copies if their vectors agree; an empty table gives no rows; further
 columns are ignored.
 """
@@ -23,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, mix, signed, slice_hashes
-from .blocks import block_pairs, forest, gathered, sized, whole_groups
+from ._common import checkpointed, mix, signed, slice_digests
+from .blocks import block_pairs, counts_of, dealt_join, forest, gathered, sized, whole_groups
 from .components import connected_components
 
 
@@ -57,12 +59,17 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(d)
 
 
-def buckets(x: np.ndarray, tables: int, width: int, probes: int) -> np.ndarray:
-    """(rows, tables * probes) bucket names, for each table those of least loss first."""
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; rows are scaled by their largest component first, so that no square under- or overflows."""
+    x = x / np.maximum(np.abs(x).max(1, initial=0, keepdims=True), 5e-324)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def buckets(x: np.ndarray, size: int, tables: int, width: int, probes: int) -> np.ndarray:
+    """(rows, tables * probes) bucket names in ``size`` dimensions, a power of two; for each table those of least loss first."""
     n, d = x.shape
-    size = 1 << max(1, (d - 1).bit_length())
     padded = np.zeros((n, size))
-    padded[:, :d] = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    padded[:, :d] = unit(x)
     choices = list(itertools.product(range(min(3, size)), repeat=width))
     out = np.empty((n, tables, probes), np.uint64)
     for t in range(tables):
@@ -82,8 +89,17 @@ def buckets(x: np.ndarray, tables: int, width: int, probes: int) -> np.ndarray:
     return out.reshape(n, -1)
 
 
-def hashed(table: DataFrame, tables: int, width: int, probes: int) -> DataFrame:
-    """vec_id, vertex (null for vectors that take no part), embedding and the names of its buckets."""
+def trimmed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of rows without trailing zeros, and where each row starts and ends."""
+    x = np.ascontiguousarray(x + 0.0)  # one zero only
+    width = x.shape[1]
+    length = width - np.argmax(x[:, ::-1] != 0, 1)
+    starts = np.arange(len(x)) * 8 * width
+    return x.view(np.uint8).ravel(), starts, starts + 8 * length
+
+
+def hashed(table: DataFrame, size: int, tables: int, width: int, probes: int) -> DataFrame:
+    """vec_id, label, two halves of the vector's name (null for vectors that take no part), embedding and the names of its buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,22 +108,18 @@ def hashed(table: DataFrame, tables: int, width: int, probes: int) -> DataFrame:
                 x, good = vectors(part.column(1))
                 label = part.column(2)
                 good &= ~np.asarray(label.is_null())
-                y = np.asarray(label.fill_null(0)).astype(np.int64).view(np.uint64)
-                raw = np.ascontiguousarray(x + 0.0).view(np.uint8).ravel()
-                at = np.arange(len(x) + 1, dtype=np.int64) * 8 * x.shape[1]
+                y = np.asarray(label.fill_null(0)).view(np.uint64)
+                names = slice_digests(*trimmed(x))
                 with np.errstate(over="ignore"):
-                    vertex = mix(slice_hashes(raw, at[:-1], at[1:]) + mix(y + np.uint64(1)))
-                    names = mix(buckets(x, tables, width, probes) + mix(y + np.uint64(7))[:, None])
+                    into = mix(buckets(x, size, tables, width, probes) + mix(y + np.uint64(7))[:, None])
                 lists = lambda v, kind: pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1]), pa.array(v.ravel(), kind))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(signed(vertex), mask=~good), lists(x, pa.float64()), lists(signed(names), pa.int64())], names=["vec_id", "vertex", "embedding", "buckets"])
-
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("long").alias("label"))
-    return rows.mapInArrow(run, "vec_id long, vertex long, embedding array<double>, buckets array<long>")
-
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), label, *(pa.array(signed(h), mask=~good) for h in names), lists(x, pa.float64()), lists(signed(into), pa.int64())],
+                    names=["vec_id", "label", "h0", "h1", "embedding", "buckets"],
+                )
 
-def unit(rows: pa.Table, i: int) -> np.ndarray:
-    x = vectors(rows.column(i).combine_chunks())[0]
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.when(F.col("label").isNotNull(), F.xxhash64("label")).alias("label"))
+    return rows.mapInArrow(run, "vec_id long, label long, h0 long, h1 long, embedding array<double>, buckets array<long>")
 
 
 def linked(work: DataFrame, least: float) -> DataFrame:
@@ -116,7 +128,7 @@ def linked(work: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, at in whole_groups(batches):
             side, vertex, copies = (rows.column(i).to_numpy() for i in (2, 3, 4))
-            x = unit(rows, 5)
+            x = unit(vectors(rows.column(5).combine_chunks())[0])
             links = np.zeros(len(vertex), np.int64)
             size = np.diff(at)
             ends = [np.zeros(0, np.int64)] * 2
@@ -155,9 +167,13 @@ def pairs_in(at: np.ndarray, groups: np.ndarray, side: np.ndarray) -> Iterator[t
 
 def near_vectors(table: DataFrame, least: float = 0.98, tables: int = 4, width: int = 3, probes: int = 4, block: int = 400) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
-    drawn = checkpointed(hashed(table, tables, width, probes))
+    longest = table.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("d")).first().d
+    drawn = checkpointed(hashed(table, 1 << max(1, (longest - 1).bit_length()), tables, width, probes))
+    key = ["label", "h0", "h1"]
     vertices = checkpointed(
-        drawn.where("vertex is not null").groupBy("vertex").agg(F.count("*").alias("copies"), F.min("vec_id").alias("lowest"), F.first("embedding").alias("embedding"), F.first("buckets").alias("buckets"))
+        drawn.where("h0 is not null").groupBy(*key)
+        .agg(F.count("*").alias("copies"), F.min("vec_id").alias("lowest"), F.first("embedding").alias("embedding"), F.first("buckets").alias("buckets"))
+        .withColumn("vertex", F.monotonically_increasing_id())
     )
     points = vertices.select("vertex", "copies", "embedding")
 
@@ -168,10 +184,11 @@ def near_vectors(table: DataFrame, least: float = 0.98, tables: int = 4, width:
     groups = checkpointed(connected_components(found.where("vertex <> root").select(F.col("vertex").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("vertex"), "component"))
     links = linked(work(groups, "component"), least).groupBy("vertex").agg(F.sum("links").alias("links"))
     names = groups.join(vertices.select("vertex", "lowest"), "vertex").groupBy("component").agg(F.min("lowest").alias("first"))
-    by_vertex = (
-        vertices.select("vertex", "copies", "lowest").join(links, "vertex", "left").join(groups.join(names, "component").select("vertex", "first"), "vertex", "left")
-        .select("vertex", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("first", "lowest").alias("component_id"))
+    by_vertex = checkpointed(
+        vertices.select(*key, "vertex", "copies", "lowest").join(links, "vertex", "left")
+        .join(dealt_join(groups, names, "component", "vertex", counts_of(groups, "component")).select("vertex", "first"), "vertex", "left")
+        .select(*key, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("first", "lowest").alias("component_id"), F.col("copies").alias("n"))
     )
-    some = drawn.where("vertex is not null").select("vec_id", "vertex").join(by_vertex, "vertex").select("vec_id", "n_links", "component_id")
-    none = drawn.where("vertex is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    some = dealt_join(drawn.where("h0 is not null").select("vec_id", *key), by_vertex.drop("n"), key, "vec_id", by_vertex.select(*key, "n")).select("vec_id", "n_links", "component_id")
+    none = drawn.where("h0 is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return some.unionByName(none).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

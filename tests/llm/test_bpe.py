@@ -54,3 +54,31 @@ def test_digests(spark):
     assert bpe.bpe_digest(documents(spark, []), PATH).count() == 0
     row = bpe.bpe_digest(docs.where("doc_id = 9"), PATH, with_ids=True).first()
     assert sum(row.byte_lengths) == len("été \U0001f600 naïve 漢字 don't 12'll".encode()) and len(row.ids) == row.n_tokens
+
+
+def test_twin_pieces_and_shared_hashes(spark, monkeypatch):
+    from test_chosen_path import thue_morse
+
+    texts = [" ".join(thue_morse(k, s) for s in (0, 1)) for k in (10, 11, 12)]
+    want = [LIBRARY.encode_ordinary(t) for t in texts]
+    assert bpe.encode_texts(RANKS, texts) == want
+    docs = documents(spark, [(i, t, "en", "s", 0, 0.5, 1) for i, t in enumerate(texts)])
+    assert sorted((r.doc_id, r.n_tokens) for r in bpe.bpe_digest(docs, PATH).collect()) == [(i, len(w)) for i, w in enumerate(want)]
+    monkeypatch.setattr(bpe, "slice_hashes", lambda raw, s, e: (e - s).astype("uint64"))  # pieces of the same length share a hash
+    assert bpe.encode_texts(RANKS, [*texts, "one two six ten"]) == [*want, LIBRARY.encode_ordinary("one two six ten")]
+
+
+def test_class_of_every_code_point():
+    """A vocabulary whose only merges are a letter, digit or sign with the next byte shows which class the library gives a code point."""
+    import numpy as np
+
+    ranks = {bytes([i]): i for i in range(256)}
+    for probe in b"a1!":
+        ranks |= {bytes([probe, i]): len(ranks) + i for i in range(256)}
+    library = tiktoken.Encoding("classes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    mine = bpe.code_point_classes()
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for probe, kind in (("a", bpe.LETTER), ("1", bpe.NUMBER), ("!", bpe.OTHER)):
+        got = np.array([t[0] >= 256 for t in map(library.encode_ordinary, (probe + chr(c) for c in points))])
+        wrong = np.flatnonzero(got != (mine[points] == kind))
+        assert not len(wrong), (kind, [hex(points[i]) for i in wrong[:20]], len(wrong))

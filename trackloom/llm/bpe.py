@@ -3,7 +3,8 @@
 Texts become code points, code points become symbols (a class, with what the next characters allow), and each symbol is a transition
 function of a small automaton whose state says which kind of piece is open. The functions are composed by table in an associative block
 scan, which gives the state at every character and so the piece boundaries, without a regular expression. Pieces are hashed, and only
-pieces that are new to a worker go through pair merging; the rest comes from its cache. Token ids keep their byte lengths, so decoding
+pieces that are new to a worker go through pair merging; the rest comes from its cache, and the ids' bytes are checked against the text's,
+so a shared hash costs time but changes nothing. Token ids keep their byte lengths, so decoding
 is a gather from the vocabulary's bytes.
 
 Null texts count as empty: no tokens, and the hash of no bytes. Texts of any length are encoded whole; ties and repeated rows do not
@@ -19,6 +20,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -83,13 +85,27 @@ _classes: list[np.ndarray] = []
 
 
 def code_point_classes() -> np.ndarray:
-    """LETTER, NUMBER, OTHER or BLANK of every code point."""
+    """LETTER, NUMBER, OTHER or BLANK of every code point, as the tokenizer library's own Unicode tables have them.
+
+    Its version of Unicode may be newer than Python's, so the library is asked, once a process, about the code points of the planes for
+    text that Python has as unassigned: in a vocabulary whose only merges join a letter, or a digit, with the byte after it, such a merge
+    shows that the code point belongs to the same run. Of other planes no code point is a letter or number.
+    """
     if not _classes:
+        import tiktoken
+
         found = np.full(0x110000, OTHER, np.uint8)
-        kinds = {"L": LETTER, "N": NUMBER}
-        for c in range(0x110000):
-            if (k := kinds.get(unicodedata.category(chr(c))[0])) is not None:
-                found[c] = k
+        group = np.array([{"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x40000)], np.uint8)
+        found[: len(group)] = group
+        points = np.array([c for c in range(0x40000) if unicodedata.category(chr(c)) == "Cn"])
+        for probe, kind in (("a", LETTER), ("1", NUMBER)):
+            single = ord(probe)
+            ranks = {bytes([i]): i for i in range(256)} | {bytes([single, i]): 256 + i for i in range(256)}
+            library = tiktoken.Encoding(f"classes of {probe}", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            for k in range(0, len(points), 4096):
+                ids = np.array(library.encode_ordinary("".join(probe + chr(c) for c in points[k : k + 4096].tolist())))
+                joins = ids[(ids >= 256) | (ids == single)] >= 256
+                found[points[k : k + 4096][joins]] = kind
         found[list(WHITE)] = BLANK
         _classes.append(found)
     return _classes[0]
@@ -220,7 +236,10 @@ class Encoder:
         return slot
 
     def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets of each text's ids)."""
+        """(ids, offsets of each text's ids).
+
+        The ids' bytes are compared with the text's. Where they differ, two pieces share a hash, and the chunk is encoded without cache.
+        """
         starts = piece_starts(raw, at)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
@@ -235,6 +254,11 @@ class Encoder:
             slots[i] = self.add(int(keys[i]), merge(data[s[i] : e[i]], self.ranks))
         slot = np.array(slots, np.int64)[back]
         ids, per = gather(self.ids, self.first[slot], self.count[slot])
+        decoded = self.decode(ids)[0]
+        if len(decoded) != len(raw) or not np.array_equal(decoded, raw):
+            self.forget()
+            exact = [merge(data[a:b], self.ranks) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            ids, per = np.array([i for x in exact for i in x], np.uint32), np.array([len(x) for x in exact])
         upto = np.concatenate(([0], np.cumsum(per)))
         return ids, upto[np.searchsorted(starts, at)]
 
@@ -283,8 +307,6 @@ def bpe_digest(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                 ids, upto = encoder.encode(raw, at)
                 back, lengths = encoder.decode(ids)
                 ends = np.concatenate(([0], np.cumsum(lengths)))[upto]
-                if len(back) != len(raw) or not np.array_equal(back, raw):
-                    raise ValueError("decoded bytes differ from the text's: two pieces share a 64-bit hash")
                 as_bytes, decoded = np.ascontiguousarray(ids, "<u4").tobytes(), back.tobytes()
                 columns = [
                     keys.slice(first, end - first),

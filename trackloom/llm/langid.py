@@ -48,19 +48,23 @@ class Distinct:
 
 
 class Index:
-    """The number of each of some distinct keys; 0 stands for any other key."""
+    """The number of each of some distinct keys, from 1; 0 stands for any other key."""
 
     def __init__(self, keys: np.ndarray) -> None:
-        self.keys = np.concatenate((np.zeros(1, np.uint64), keys))
-        slot = (keys >> np.uint64(42)).astype(np.int64)
-        self.place = np.zeros(SLOTS, np.int32)
-        self.place[slot] = np.arange(1, len(self.keys))
-        lost = np.flatnonzero(self.place[slot] != np.arange(1, len(self.keys))) + 1
+        self.given, self.keys = keys, np.concatenate((np.zeros(1, np.uint64), keys))
+        self.shift = np.uint64(64 - min(22, max(8, (4 * len(keys)).bit_length())))
+        slot, number = (keys >> self.shift).astype(np.int32), np.arange(1, len(self.keys), dtype=np.int32)
+        self.place = np.zeros(1 << (64 - int(self.shift)), np.int32)
+        self.place[slot] = number
+        lost = number[self.place[slot] != number]
         lost = lost[np.argsort(self.keys[lost])]
         self.more, self.numbers = self.keys[lost], lost
 
+    def __reduce__(self) -> tuple:
+        return Index, (self.given,)
+
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        found = self.place[(keys >> np.uint64(42)).astype(np.int32)]
+        found = self.place[(keys >> self.shift).astype(np.int32)]
         other = np.flatnonzero((found > 0) & (self.keys[found] != keys))
         if len(other):
             found[other] = 0

@@ -2,19 +2,19 @@
 
 Base patterns find e-mail addresses, IP addresses, card numbers (13 to 19 digits that pass Luhn) and phone numbers (9 to 15 digits),
 leftmost and without overlap within a kind; matches that fail their test are dropped. The model adds spans that the patterns miss:
-numbers and addresses written otherwise (dots or slashes between a card's digits, phone numbers without a plus, spelt-out signs in
-addresses). It reads each character's class and shape (about thirty symbols), runs an LSTM in both directions and decodes the best path
-of tags (begin and inside of each kind, and outside) under learned transitions.
+numbers and addresses written otherwise (dots or slashes between a card's digits, phone numbers without a plus, ``[.]``, ``[at]`` or
+``(dot)`` in addresses). It reads each character's class and shape (about thirty symbols), runs an LSTM in both directions and
+decodes the best path of tags (begin and inside of each kind, and outside) under learned transitions.
 
 It is trained in numpy, by gradient descent on the CRF's likelihood with back-propagation through time, from labelled spans: sentences
 of a seeded generator whose spans are known. Training takes some seconds on the driver, and the model is a few kilobytes.
 
-Texts are read in windows of ``READ`` characters that start every ``STRIDE``. A window without an anchor, a digit or an ``@``, holds no span
-of these kinds by definition, and is not read; every other window of every text is. Overlapping windows are reconciled globally: a span
-counts if no window that holds it whole, with ``MARGIN`` characters to spare or the text's own edge, disagrees; if there is none, those
-with one character to spare decide. So a span of up to READ - STRIDE - 1 = 95 characters is held by some window wherever it starts; a
-longer one that only the model can find may be lost. A span must pass its kind's own test of digits, and must not overlap a base span or
-an earlier span of the model's.
+Every character of every text is read, in windows of ``READ`` characters that start every ``STRIDE``: what two windows both read is taken
+from the one that sees more on both sides, ``MARGIN`` characters at least. So windows are reconciled into one row of emissions a text, and
+one best path through the whole text is decoded, whatever windows a span crosses. Most of the path is proven instead of searched: a run
+of tags can only be better than outside if its emissions' gains, less what the transitions can at most give back, add up to more than
+nothing, and only characters that lie in some such run are searched (``possible``); the path is that of the plain search. A span must
+pass its kind's own test (``plausible``), and must not overlap a base span or an earlier span of the model's.
 
 Null texts count as empty and have no spans. Texts of any length are read whole, in time linear in their length; positions are code
 points. Repeated rows stand alone; further columns are ignored; an empty table gives no rows.
@@ -22,6 +22,7 @@ points. Repeated rows stand alone; further columns are ignored; an empty table g
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import string_column
+from ._common import chunks, string_column
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -41,11 +42,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-WINDOW, MARGIN = 64, 8
-READ, STRIDE = 128, 32
-HIDDEN, EMBED = 24, 12
+WINDOW = 64  # of training
+READ, MARGIN = 1024, 32
+STRIDE = READ - 2 * MARGIN
+HIDDEN, EMBED = 12, 8
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
-_ANCHOR = re.compile(r"[0-9@]")
 
 
 def luhn(digits: str) -> bool:
@@ -91,8 +92,7 @@ def _alphabet() -> np.ndarray:
 
 
 ALPHABET = _alphabet()
-SYMBOLS = int(ALPHABET.max()) + 2
-PAD = SYMBOLS - 1
+SYMBOLS = int(ALPHABET.max()) + 1
 
 
 def symbols(text: str) -> np.ndarray:
@@ -119,7 +119,7 @@ def fresh(seed: int = 1) -> Model:
     r = np.random.default_rng(seed)
     w = lambda *s: (r.normal(size=s) / np.sqrt(s[-2] if len(s) > 1 else 1)).astype(np.float32)
     b = np.zeros((2, 4 * HIDDEN), np.float32)
-    b[:, HIDDEN : 2 * HIDDEN] = 1
+    b[:, HIDDEN : 2 * HIDDEN] = 3
     return Model(0.5 * w(SYMBOLS, EMBED) * np.sqrt(SYMBOLS).astype(np.float32), w(2, EMBED, 4 * HIDDEN), w(2, HIDDEN, 4 * HIDDEN), b, w(2 * HIDDEN, TAGS), np.zeros(TAGS, np.float32), forbidden(), np.where(np.arange(TAGS) % 2 == 0, np.where(np.arange(TAGS) > 0, -8, 0), 0).astype(np.float32))
 
 
@@ -132,8 +132,9 @@ def forbidden() -> np.ndarray:
     return m
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+def _bent(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|): what stands for the hyperbolic tangent here, as it needs no exponential; (1 + it) / 2 is a gate's opening."""
+    return x / (1 + np.abs(x))
 
 
 def forward(model: Model, x: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
@@ -147,11 +148,12 @@ def forward(model: Model, x: np.ndarray, keep: bool = False) -> tuple[np.ndarray
         kept = []
         for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
             z = gates[t] + h @ model.wh[d]
-            s = _sigmoid(z[:, : 3 * HIDDEN])
-            i, f, o, g = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :], np.tanh(z[:, 3 * HIDDEN :])
+            s = _bent(z)
+            g = s[:, 3 * HIDDEN :]
+            i, f, o = ((1 + s[:, k * HIDDEN : (k + 1) * HIDDEN]) / 2 for k in range(3))
             before, old = h, c
             c = f * c + i * g
-            tc = np.tanh(c)
+            tc = _bent(c)
             h = o * tc
             states[t, :, d * HIDDEN : (d + 1) * HIDDEN] = h
             if keep:
@@ -200,8 +202,9 @@ def gradients(model: Model, x: np.ndarray, tags: np.ndarray) -> tuple[float, lis
         dh_next = dc_next = np.zeros((x.shape[0], HIDDEN), np.float32)
         for t, before, old, i, f, o, g, tc in reversed(memory[d]):
             dh = d_states[t, :, d * HIDDEN : (d + 1) * HIDDEN] + dh_next
-            dc = dc_next + dh * o * (1 - tc**2)
-            dz = np.concatenate((dc * g * i * (1 - i), dc * old * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g**2)), 1)
+            dc = dc_next + dh * o * (1 - np.abs(tc)) ** 2
+            opens = lambda x: (1 - np.abs(2 * x - 1)) ** 2 / 2
+            dz = np.concatenate((dc * g * opens(i), dc * old * opens(f), dh * tc * opens(o), dc * i * (1 - np.abs(g)) ** 2), 1)
             d_wh[d] += before.T @ dz
             d_wx[d] += e[t].T @ dz
             d_b[d] += dz.sum(0)
@@ -212,10 +215,10 @@ def gradients(model: Model, x: np.ndarray, tags: np.ndarray) -> tuple[float, lis
     return loss, [d_embed, d_wx, d_wh, d_b, np.tensordot(states, ds, ((0, 1), (0, 1))), ds.sum((0, 1)), d_moves, d_start]
 
 
-def viterbi(model: Model, scores: np.ndarray) -> np.ndarray:
-    """(rows, steps) best tags."""
+def viterbi(model: Model, scores: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+    """(rows, steps) best tags; ``first``: what each row's first tag is worth, the model's start by default."""
     steps, n, _ = scores.shape
-    best, back = model.start + scores[0], np.empty((steps, n, TAGS), np.int8)
+    best, back = (model.start if first is None else first) + scores[0], np.empty((steps, n, TAGS), np.int8)
     for t in range(1, steps):
         every = best[:, :, None] + model.moves
         back[t] = every.argmax(1)
@@ -227,6 +230,82 @@ def viterbi(model: Model, scores: np.ndarray) -> np.ndarray:
     return out
 
 
+class Network:
+    """The model's emissions of many windows at once; each gate has its own table by symbol and its own rows, so that all steps are on whole arrays."""
+
+    def __init__(self, model: Model) -> None:
+        cut = lambda w, d: [np.ascontiguousarray(w[..., k * HIDDEN : (k + 1) * HIDDEN], np.float32) for k in range(4)]
+        self.table = [cut(model.embed @ model.wx[d] + model.b[d], d) for d in (0, 1)]
+        self.wh = [cut(model.wh[d], d) for d in (0, 1)]
+        self.out = [np.ascontiguousarray(model.out[d * HIDDEN : (d + 1) * HIDDEN]) for d in (0, 1)]
+        self.bias = model.out_b.astype(np.float32)
+
+    def emissions(self, x: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """(steps, rows, TAGS) for symbols (steps, rows); rows come by decreasing length, and beyond its length a row means nothing."""
+        steps, n = x.shape
+        out = np.empty((steps, n, TAGS), np.float32)
+        out[:] = self.bias
+        active = np.searchsorted(-length, -np.arange(steps), "left")  # rows longer than t
+
+        def bend(v: np.ndarray, room: np.ndarray) -> None:
+            np.abs(v, out=room)
+            room += 1
+            v /= room
+
+        for d in (0, 1):
+            h, c, room = (np.zeros((n, HIDDEN), np.float32) for _ in range(3))
+            (ti, tf, to, tg), (wi, wf, wo, wg) = self.table[d], self.wh[d]
+            for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
+                m = active[t]
+                row, hm, cm, r = x[t, :m], h[:m], c[:m], room[:m]
+                i, f, o, g = ti.take(row, 0), tf.take(row, 0), to.take(row, 0), tg.take(row, 0)
+                for gate, w in ((i, wi), (f, wf), (o, wo), (g, wg)):
+                    np.matmul(hm, w, out=r)
+                    gate += r
+                    bend(gate, r)
+                i += 1
+                i *= g
+                f += 1
+                cm *= f
+                cm += i
+                cm *= 0.5
+                np.copyto(g, cm)
+                bend(g, r)
+                o += 1
+                o *= g
+                np.multiply(o, 0.5, out=hm)
+                out[t, :m] += hm @ self.out[d]
+        return out
+
+
+def windows_of(length: int) -> list[tuple[int, int, int, int]]:
+    """(start, end, first, last) of a text's windows: each stands for the characters from first to last."""
+    n = max(1, -(-(length - READ) // STRIDE) + 1)
+    return [(k * STRIDE, min(length, k * STRIDE + READ), k * STRIDE + MARGIN if k else 0, (k + 1) * STRIDE + MARGIN if k < n - 1 else length) for k in range(n)] if length else []
+
+
+def possible(begin: np.ndarray, go_on: np.ndarray, end: float, block: int = 1 << 16) -> np.ndarray:
+    """Which positions lie in a run of tags that could be worth more than staying outside, but for rounding.
+
+    A run is worth at most ``begin`` of its first position, ``go_on`` of each further one, and ``end``.
+    """
+    n = len(begin)
+    left, right = np.empty(n, np.float32), np.empty(n, np.float32)
+    carry = -np.inf
+    for k in range(0, n, block):  # the best run so far that ends here
+        upto = np.cumsum(go_on[k : k + block], dtype=np.float64)
+        best = np.maximum.accumulate(begin[k : k + block] - upto)
+        left[k : k + block] = upto + np.maximum(best, carry)
+        carry = float(left[min(n, k + block) - 1])
+    carry = 0.0
+    for k in reversed(range(0, n, block)):  # the best that can follow
+        upto = np.cumsum(go_on[k : k + block], dtype=np.float64)
+        best = np.maximum.accumulate(upto[::-1])[::-1]
+        right[k : k + block] = np.maximum(best, upto[-1] + carry) - upto
+        carry = max(0.0, float(go_on[k] + right[k]))
+    return left + right + end >= -1e-3
+
+
 def labelled(r: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
     """A sentence of the generator, with its spans."""
     pick = lambda xs: xs[int(r.integers(len(xs)))]
@@ -247,17 +326,19 @@ def labelled(r: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
         name, host, end = word() + pick([".", "_", "", "-"]) + digits(int(r.integers(0, 3))), word() + pick(["", digits(1)]), pick(["com", "org", "net", "example.com"])
         name = "".join(c for c in name if c.isascii()) or "a"
         host = "".join(c for c in host if c.isascii()) or "b"
-        return pick([f"{name}@{host}.{end}", f"{name}@{host}.{end}", f"{name} @ {host}.{end}", f"{name}@{host} . {end}", f"{name}@{host}[.]{end}"])
+        return pick([f"{name}@{host}.{end}", f"{name}@{host}.{end}", f"{name} @ {host}.{end}", f"{name}@{host} . {end}", f"{name}@{host}[.]{end}", f"{name}[at]{host}.{end}", f"{name} (at) {host}(dot){end}"])
 
     ip = lambda: ".".join(str(x) for x in r.integers(0, 256, 4))
     odd = lambda: pick([f"ip:{ip()}", ip(), ip().replace(".", "[.]")])
     plain = lambda: pick([digits(int(r.integers(1, 9))), f"{digits(2)}/{digits(2)}/{digits(4)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"v{digits(1)}.{digits(1)}.{digits(2)}", f"AKIA{digits(6)}QX{digits(2)}", f"pass={digits(5)}b7{digits(3)}a", f"@{word()}", f"${digits(3)}.{digits(2)}", f"{digits(1)},{digits(3)}", f"{digits(2)}:{digits(2)}", f"{word()}{digits(2)}", digits(int(r.integers(20, 30)))])
     text, spans = word() + " ", []
-    for _ in range(int(r.integers(3, 7))):
+    prose, marks = r.random() < 0.4, r.random() < 0.25  # words alone; words with signs, as tables and junk have them
+    while len(text) < WINDOW + 24:
         u = r.random()
-        if u < 0.4:
-            text += word()
-        elif u < 0.6:
+        if prose or u < 0.45:
+            text += pick([word, word, word, lambda: word().title(), lambda: "".join(map(chr, r.integers(97, 123, int(r.integers(1, 10)))))])()
+            text += pick(["%%%", "###", "***", "$$$", "&&&", " |", "!", "?", ";", "'s", "-" + word(), "..."]) if marks else ""
+        elif u < 0.65:
             text += plain()
         else:
             kind = int(r.integers(0, 4))
@@ -266,32 +347,31 @@ def labelled(r: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
             s = s.removeprefix("ip:")
             spans.append((kind, len(text), len(text) + len(s)))
             text += s
-        text += pick([" ", " ", " ", ", ", ". ", "\n"])
+        text += pick([" ", " ", " ", " ", ", ", ". ", ".\n", "\n"])
     return text, spans
 
 
 def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and tags of windows cut from labelled sentences."""
     r = np.random.default_rng(seed)
-    x, y = np.full((n, WINDOW), PAD), np.zeros((n, WINDOW), np.int64)
+    x, y = np.empty((n, WINDOW), np.int64), np.empty((n, WINDOW), np.int64)
     for i in range(n):
         text, spans = labelled(r)
         tags = np.zeros(len(text), np.int64)
         for k, a, b in spans:
             tags[a], tags[a + 1 : b] = 2 * k + 1, 2 * k + 2
-        first = int(r.integers(0, max(1, len(text) - WINDOW + 1)))
-        s = symbols(text)[first : first + WINDOW]
-        x[i, : len(s)], y[i, : len(s)] = s, tags[first : first + WINDOW]
-        k = (y[i, 0] - 1) // 2  # a window that starts inside a span starts with its begin tag
-        if y[i, 0] and y[i, 0] % 2 == 0:
-            y[i, 0] = 2 * k + 1
+        first = int(r.integers(0, len(text) - WINDOW + 1))
+        x[i], y[i] = symbols(text)[first : first + WINDOW], tags[first : first + WINDOW]
+        if y[i, 0] and y[i, 0] % 2 == 0:  # a window that starts inside a span starts with its begin tag
+            y[i, 0] -= 1
     return x, y
 
 
-def train(rounds: int = 500, batch: int = 64, rate: float = 0.01, seed: int = 3) -> Model:
-    """Adam on fresh labelled windows, with gradients clipped."""
+@functools.cache
+def train(rounds: int = 500, batch: int = 96, rate: float = 0.02, seed: int = 3) -> Model:
+    """Adam on labelled windows, with gradients clipped. The same arguments give the same model, which is trained once a process."""
     model = fresh()
-    pool = examples(4000, seed)
+    pool = examples(3000, seed)
     r = np.random.default_rng(seed)
     m, v = ([np.zeros_like(p) for p in model.parameters()] for _ in range(2))
     for step in range(1, rounds + 1):
@@ -318,11 +398,16 @@ def tag_spans(tags: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
+_ADDRESS = re.compile(
+    r"[A-Za-z0-9][A-Za-z0-9._%+-]*(?:\s?@\s?|\s?[\[(]at[\])]\s?)[A-Za-z0-9-]+(?:\s?(?:\.|\[\.\]|[\[(]dot[\])])\s?[A-Za-z0-9-]+)*\s?(?:\.|\[\.\]|[\[(]dot[\])])\s?[A-Za-z]{2,}"
+)
+
+
 def plausible(kind: int, s: str) -> bool:
     """A model span's own test: what must hold for its kind however it is written."""
     n = len(only_digits(s))
     if kind == 0:
-        return s.count("@") == 1 and len(s) >= 6 and re.search(r"[A-Za-z0-9]\s?(?:\.|\[\.\])\s?[A-Za-z]{2,}$", s) is not None and s[0] != "@"
+        return len(s) >= 6 and _ADDRESS.fullmatch(s) is not None
     if kind == 1:
         parts = re.findall(r"[0-9]+", s)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -334,42 +419,69 @@ def plausible(kind: int, s: str) -> bool:
 class Reader:
     """Reads texts with the model; windows of many texts go through it together."""
 
-    def __init__(self, model: Model, batch: int = 512) -> None:
-        self.model, self.batch = model, batch
+    def __init__(self, model: Model, batch: int = 2048) -> None:
+        self.model, self.batch, self.network = model, batch, Network(model)
+        moves = model.moves.astype(np.float64) - model.moves[0, 0]
+        # what transitions add to a run of tags, next to staying outside: into each tag, at the text's start, and at most within and out of it
+        self.into, self.start = moves[0, 1:].astype(np.float32), (model.start[1:] - model.start[0]).astype(np.float32)
+        self.within, self.out = float(moves[1:, 1:].max()), float(moves[1:, 0].max())
+
+    def emissions(self, coded: list[np.ndarray], wanted: list[tuple[int, tuple[int, int, int, int]]]) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(text, first position, emissions) of the windows wanted, in no order; together they are ``batch`` rows at most."""
+        wanted = sorted(wanted, key=lambda w: w[1][0] - w[1][1])
+        for k in range(0, len(wanted), self.batch):
+            part = wanted[k : k + self.batch]
+            length = np.array([b - a for _, (a, b, _, _) in part])
+            x = np.zeros((length[0], len(part)), np.intp)
+            for j, (i, (a, b, _, _)) in enumerate(part):
+                x[: b - a, j] = coded[i][a:b]
+            found = self.network.emissions(x, length)
+            for j, (i, (a, _, first, last)) in enumerate(part):
+                yield i, first, found[first - a : last - a, j]
 
     def decode(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-        """The spans that all windows agree on, for each text."""
-        where: list[tuple[int, int]] = []
-        for i, text in enumerate(texts):
-            hit = sorted({p for m in _ANCHOR.finditer(text) for p in range(max(0, (m.start() - READ) // STRIDE + 1), m.start() // STRIDE + 1)})
-            where += [(i, p * STRIDE) for p in hit]
-        found: list[dict[tuple[int, int, int], set[int]]] = [{} for _ in texts]
-        read: list[set[int]] = [set() for _ in texts]
-        for k in range(0, len(where), self.batch):
-            part = where[k : k + self.batch]
-            x = np.full((len(part), READ), PAD)
-            for j, (i, first) in enumerate(part):
-                s = symbols(texts[i][first : first + READ])
-                x[j, : len(s)] = s
-            tags = viterbi(self.model, forward(self.model, x)[0])
-            for j, (i, first) in enumerate(part):
-                read[i].add(first)
-                if tags[j].any():
-                    size = min(READ, len(texts[i]) - first)
-                    for kind, a, b in tag_spans(tags[j, :size].tolist()):
-                        found[i].setdefault((kind, first + a, first + b), set()).add(first)
-        return [[s for s, votes in sorted(f.items(), key=lambda x: x[0][1:]) if self.agreed(s, votes, read[i], len(texts[i]))] for i, f in enumerate(found)]
-
-    @staticmethod
-    def agreed(span: tuple[int, int, int], votes: set[int], read: set[int], length: int) -> bool:
-        """votes: the windows that found the span."""
-        _, a, b = span
-        near = [p * STRIDE for p in range(max(0, (b - READ) // STRIDE), a // STRIDE + 1) if p * STRIDE in read]
-        for margin in (MARGIN, 1):
-            whole = {first for first in near if (first == 0 or first + margin <= a) and (first + READ >= length or b + margin <= first + READ)}
-            if whole:
-                return whole <= votes
-        return False
+        """The spans of each text's best path."""
+        coded = [symbols(t).astype(np.uint8) for t in texts]
+        windows = [windows_of(len(c)) for c in coded]
+        begin, go_on = ([np.empty(len(c), np.float32) for c in coded] for _ in range(2))
+        for i, first, found in self.emissions(coded, [(i, w) for i, ws in enumerate(windows) for w in ws]):
+            more = found[:, 1:] - found[:, :1]
+            here = slice(first, first + len(found))
+            go_on[i][here], begin[i][here] = more.max(1) + self.within, (more + self.into).max(1)
+            if not first:
+                begin[i][0] = (more[0] + self.start).max()
+        runs: list[tuple[int, int, int]] = []
+        again: dict[tuple[int, int], None] = {}
+        for i, (s, g) in enumerate(zip(begin, go_on, strict=True)):
+            if len(g):
+                s[-1] += max(0.0, -self.out)  # a run that ends with the text has no way out to pay
+                g[-1] += max(0.0, -self.out)
+                at = np.flatnonzero(np.diff(np.concatenate(([False], possible(s, g, self.out), [False])).astype(np.int8)))
+                for a, b in zip(at[::2].tolist(), at[1::2].tolist(), strict=True):
+                    runs.append((i, a, b))
+                    again |= dict.fromkeys((i, k) for k, w in enumerate(windows[i][max(0, a // STRIDE - 1) : b // STRIDE + 1], max(0, a // STRIDE - 1)) if w[2] < b and w[3] > a)
+        if not runs:
+            return [[] for _ in texts]
+        rows = {(i, first): found.copy() for i, first, found in self.emissions(coded, [(i, windows[i][k]) for i, k in again])}
+        out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        runs.sort(key=lambda r: r[2] - r[1])
+        for part in batches_of(runs):
+            steps = part[-1][2] - part[-1][1] + 1
+            scores = np.full((steps, len(part), TAGS), -1e9, np.float32)
+            scores[:, :, 0] = 0  # after its end a run is outside
+            start = np.empty((len(part), TAGS), np.float32)
+            for j, (i, a, b) in enumerate(part):
+                start[j] = self.model.moves[0] if a else self.model.start
+                for k in range(max(0, a // STRIDE - 1), min(len(windows[i]), b // STRIDE + 1)):
+                    first, last = windows[i][k][2:]
+                    if first < b and last > a:
+                        scores[max(a, first) - a : min(b, last) - a, j] = rows[i, first][max(a, first) - first : min(b, last) - first]
+                if b == len(coded[i]):  # nothing follows
+                    scores[b - a - 1, j] -= self.model.moves[:, 0]
+            tags = viterbi(self.model, scores, start)
+            for j, (i, a, b) in enumerate(part):
+                out[i] += [(kind, a + x, a + y) for kind, x, y in tag_spans(tags[j, : b - a].tolist())]
+        return [sorted(spans, key=lambda s: s[1:]) for spans in out]
 
     def spans(self, texts: list[str]) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
         """(base spans, all spans) of each text, by kind and start."""
@@ -388,6 +500,15 @@ class Reader:
         return out
 
 
+def batches_of(runs: list[tuple[int, int, int]], cells: int = 200_000) -> Iterator[list[tuple[int, int, int]]]:
+    """Runs, which come by length, in lists that fill about so many steps."""
+    first = 0
+    for k in range(1, len(runs) + 1):
+        if k == len(runs) or (k + 1 - first) * (runs[k][2] - runs[k][1] + 1) > cells:
+            yield runs[first:k]
+            first = k
+
+
 def clear(text: str, a: int, b: int) -> bool:
     """The span stands alone: no letter or digit of the same run goes on beside it."""
     return not (a and text[a - 1].isalnum() and text[a].isalnum()) and not (b < len(text) and text[b].isalnum() and text[b - 1].isalnum())
@@ -407,11 +528,10 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[last:]])
 
 
-def _texts(batch: pa.RecordBatch, name: str, size: int = 200) -> Iterator[tuple[int, int, list[str]]]:
-    column = string_column(batch, name)
-    for first in range(0, batch.num_rows, size):
-        end = min(batch.num_rows, first + size)
-        yield first, end, column.slice(first, end - first).to_pylist()
+def _texts(batch: pa.RecordBatch, name: str, size: int = 2 << 20) -> Iterator[tuple[int, int, list[str]]]:
+    for first, end, raw, at in chunks(string_column(batch, name), size):
+        data = raw.tobytes()
+        yield first, end, [data[a:b].decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def find(docs: DataFrame) -> DataFrame:

@@ -2,17 +2,18 @@
 
 Vectors get one more component that makes all lengths equal, so that the largest inner product is the smallest angle (queries get a 0
 there). Codes of ``BITS`` bits come from several rotations, each learned from a bounded sample by iterative quantisation (Gong and
-Lazebnik, 2011). Codes are cut into substrings, and each has a directory of its non-empty buckets. By the pigeonhole principle every
-code within Hamming radius r of a query agrees with it in some substring up to r // substrings bits (for substrings beyond the
-remainder, one bit less), so probing the directories retrieves every code within the radius. These are reranked by the exact inner
-product in double precision.
+Lazebnik, 2011). Codes are cut into substrings of about log2(rows) bits, and each has a table of buckets. By the pigeonhole principle
+every code within Hamming radius r of a query agrees with it in some substring up to r // substrings bits (for substrings beyond the
+remainder, one bit less). So the substrings that differ from the query's in that many bits are enumerated and their buckets looked up;
+whole codes are compared for the rows retrieved only, and those within the radius are reranked by the exact inner product in double
+precision.
 
 The radius is the query's own: a first probe, as wide as the sample's queries need for ``k`` neighbours, is widened until it gives ``k``;
 the worst angle among them bounds what is still to be found, and the last probe goes as far as a code at that angle lies with a
 probability of about 0.97, as measured on the sample. No bucket or list of candidates has a cap.
 
-Rows are dealt into shards of about ``shard`` vectors; each shard is indexed by one task, past which the stated queries stream in
-batches, and the best ``k`` of each shard are merged. The sample (at most ``sample`` rows, those of least hash of their id) only shapes
+Rows are dealt into shards, each indexed by one task, past which the stated queries stream in batches, and the best ``k`` of each shard
+are merged. Shards grow with the table up to ``MOST`` vectors, so that queries are copied to as few of them as memory allows. The sample (at most ``sample`` rows, those of least hash of their id) only shapes
 the codes. Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without an id; fewer
 candidates than ``k`` are all returned; ties go to the smaller id; rows that share the query's id are the query's own. An empty table
 gives no rows; further columns are ignored.
@@ -30,9 +31,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import whole_groups
+from .bpe import gather
 from .crosspoly import vectors
 
-BITS, PIECE = 256, 16
+BITS, PIECE = 256, 16  # a substring has at most PIECE bits
+#: Rows of a shard: a sixteenth of all, but neither fewer nor more than this.
+LEAST, MOST = 4096, 1 << 16
 
 
 @dataclass
@@ -96,31 +100,50 @@ def fit(x: np.ndarray, longest: float, rounds: int = 15) -> Coder:
 
 
 class Shard:
+    """Rows by the buckets of their codes' substrings. A substring has about as many bits as would number the rows."""
+
     def __init__(self, coder: Coder, ids: np.ndarray, x: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
         self.coder, self.ids, self.x = coder, ids[order], x[order]
         bits = coder.codes(self.x, False)
         self.words = np.packbits(bits, 1).view(np.uint64)
-        self.tables = [np.unique(v, return_inverse=True) for v in self.cut(bits)]
-
-    @staticmethod
-    def cut(bits: np.ndarray) -> list[np.ndarray]:
+        self.piece = min(PIECE, max(4, round(math.log2(len(ids)))))
+        self.tables = []
+        for value in self.cut(bits):
+            upto = np.concatenate(([0], np.cumsum(np.bincount(value, minlength=1 << self.piece))))
+            self.tables.append((upto, np.argsort(value, kind="stable")))
+        near = np.bitwise_count(np.arange(1 << self.piece, dtype=np.uint32))
+        self.masks = np.argsort(near, kind="stable")  # differences of a substring, those of fewest bits first
+        self.upto = np.cumsum(np.bincount(near, minlength=self.piece + 1))
+        self.retrieved = 0
+
+    def cut(self, bits: np.ndarray) -> list[np.ndarray]:
         """The substrings, as numbers."""
-        return [(bits[:, i : i + PIECE] @ (1 << np.arange(min(PIECE, BITS - i)))).astype(np.uint16) for i in range(0, BITS, PIECE)]
+        return [bits[:, i : i + self.piece] @ (1 << np.arange(min(self.piece, BITS - i))) for i in range(0, BITS, self.piece)]
 
-    def within(self, bits: np.ndarray, radius: np.ndarray) -> np.ndarray:
-        """(queries, rows): the codes within each query's radius, by probing every substring's directory and checking whole codes."""
+    def probed(self, bits: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        """(queries, rows): which rows lie in a bucket that a query's radius makes it look up."""
         pieces = len(self.tables)
         found = np.zeros((len(bits), len(self.ids)), bool)
-        for j, (mine, (value, bucket)) in enumerate(zip(self.cut(bits), self.tables, strict=True)):
-            reach = radius // pieces - (j > radius % pieces)
-            near = np.bitwise_count(mine[:, None] ^ value[None, :]) <= np.maximum(reach, -1).astype(np.int8)[:, None]
-            found |= near[:, bucket]
-        code = np.packbits(bits, 1).view(np.uint64)
-        far = np.zeros(found.shape, np.uint16)
-        for w in range(code.shape[1]):
-            far += np.bitwise_count(code[:, w, None] ^ self.words[None, :, w])
-        return found & (far <= radius[:, None])
+        for j, (mine, (upto, rows)) in enumerate(zip(self.cut(bits), self.tables, strict=True)):
+            reach = np.minimum(radius // pieces - (j > radius % pieces), self.piece)
+            for r in np.unique(reach[reach >= 0]).tolist():
+                q = np.flatnonzero(reach == r)
+                bucket = mine[q, None] ^ self.masks[None, : self.upto[r]]
+                first, count = upto[bucket], upto[bucket + 1] - upto[bucket]
+                some, n = gather(rows, first.ravel(), count.ravel())
+                found[np.repeat(q, count.sum(1)), some] = True
+        return found
+
+    def within(self, bits: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of the codes within each query's radius: of rows that probing retrieves, those whose whole code is."""
+        q, r = np.nonzero(self.probed(bits, radius))
+        self.retrieved += len(q)
+        code, keep = np.packbits(bits, 1).view(np.uint64), np.empty(len(q), bool)
+        for k in range(0, len(q), 200_000):
+            a, b = q[k : k + 200_000], r[k : k + 200_000]
+            keep[k : k + 200_000] = np.bitwise_count(code[a] ^ self.words[b]).sum(1, dtype=np.uint16) <= radius[a]
+        return q[keep], r[keep]
 
     def search(self, own: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query number, row number, inner product) of the best ``k`` found for each query."""
@@ -129,7 +152,7 @@ class Shard:
         y = queries[:, : self.x.shape[1]]
         norm, bits = np.linalg.norm(queries, axis=1), self.coder.codes(queries, True)
         radius = np.full(len(y), max(self.coder.first(2.5 * k / len(self.ids)), len(self.tables)))
-        q, r, s = self.rerank(self.within(bits, radius), y, own, k)
+        q, r, s = self.rerank(*self.within(bits, radius), y, own, k)
         while True:
             worst, held = np.full(len(y), np.inf), np.bincount(q, minlength=len(y))
             np.minimum.at(worst, q, s)
@@ -138,12 +161,11 @@ class Shard:
             if not len(again):
                 return q, r, s
             done = ~np.isin(q, again)
-            q2, r2, s2 = self.rerank(self.within(bits[again], wider[again]), y[again], own[again], k)
+            q2, r2, s2 = self.rerank(*self.within(bits[again], wider[again]), y[again], own[again], k)
             q, r, s = (np.concatenate((a[done], b)) for a, b in ((q, again[q2]), (r, r2), (s, s2)))
             radius = np.maximum(radius, wider)
 
-    def rerank(self, found: np.ndarray, y: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        q, r = np.nonzero(found)
+    def rerank(self, q: np.ndarray, r: np.ndarray, y: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keep = self.ids[r] != own[q]
         q, r = q[keep], r[keep]
         s = np.empty(len(q))
@@ -155,7 +177,7 @@ class Shard:
         return q[place < k], r[place < k], s[place < k]
 
 
-def nearest(table: DataFrame, is_query: Column, k: int = 20, sample: int = 4000, shard: int = 8192, batch: int = 128) -> DataFrame:
+def nearest(table: DataFrame, is_query: Column, k: int = 20, sample: int = 4000, shard: int | None = None, batch: int = 128) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest rows of every query."""
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null")
     fine = (F.size("embedding") > 0) & F.forall("embedding", lambda v: v.isNotNull() & (F.abs(v) < float("inf")) & ~F.isnan(v)) & F.exists("embedding", lambda v: v != 0)
@@ -170,7 +192,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, sample: int = 4000,
     x = vectors(drawn.column(0).combine_chunks())[0]
     x = np.pad(x, ((0, 0), (0, about.d - x.shape[1]))) if len(x) else np.ones((1, about.d))
     coder = table.sparkSession.sparkContext.broadcast(fit(x, math.sqrt(about.longest)))
-    shards = math.ceil(about.n / shard)
+    shards = math.ceil(about.n / (shard or min(MOST, max(LEAST, about.n // 16))))
     dealt = rows.select(F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(shards)).alias("shard"), F.lit(0).alias("query"), "vec_id", "embedding")
     asked = rows.where(is_query).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(1).alias("query"), "vec_id", "embedding")
     work = dealt.unionAll(asked).repartition(max(12, shards), "shard").sortWithinPartitions("shard", "query", "vec_id")

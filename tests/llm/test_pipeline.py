@@ -1,6 +1,6 @@
 import corpus_pipeline
 
-from data import ODD, documents
+from data import ENGLISH, ODD, documents
 
 
 def test_odd_rows_go_through(spark, tmp_path):
@@ -30,3 +30,21 @@ def test_decisions(spark):
 def test_empty(spark, tmp_path):
     documents(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_names(spark, tmp_path):
+    names = "doc_id long, text string, lang string, source string, n_chars int, weight double, passes int, block string, mix_tokens int, kept_id int, kept_rows int, SCORE double, known string, lang_pred string, `a.b` int"
+    rows = [(i, f"some plain words number {i} that say very little about anything {i % 7} at all", "en", "s" if i % 3 else "t", 9, 0.5, 1, "b", 2, 3, 4, 0.1, "k", "l", 5) for i in range(20)]
+    docs = spark.createDataFrame([*rows, rows[0], (None, *rows[1][1:])], names)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, "")
+        assert made.schema.names == docs.schema.names, name
+        assert {tuple(r)[5:] for r in made.collect()} == {rows[0][5:]}
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 20
+
+
+def test_unknown_languages_go(spark):
+    rows = [(i, f"{ENGLISH} {i}", "en", "s", 0, 0.5, 1) for i in range(20)] + [(50, "漢字仮名交じり文で書かれた文章です", None, "s", 0, 0.5, 1), (51, "the lazy dog walks", None, "s", 0, 0.5, 1)]
+    kept = {r.doc_id: r.lang for r in corpus_pipeline.known_language(spark, documents(spark, rows), "").collect()}
+    assert 50 not in kept and kept[51] == "en" and len(kept) == 21

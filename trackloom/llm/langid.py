@@ -166,7 +166,7 @@ def outputs(model: Model, raw: np.ndarray, at: np.ndarray, distinct: Distinct) -
         rows.append(row)
         out.append(model.weights[number].sum(0, dtype=np.float64) / np.sqrt(len(found)) + model.bias)
         known.append(np.count_nonzero(number) / len(found))
-    return rows, np.array(out).reshape(len(rows), -1), np.array(known)
+    return rows, np.array(out).reshape(len(rows), len(model.languages)), np.array(known)
 
 
 def predict(model: Model, raw: np.ndarray, at: np.ndarray, distinct: Distinct) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -14,32 +14,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm import bpe, chosen_path, langid, mixing, pii
-from trackloom.llm._common import checkpointed, shared_folder
+from trackloom.llm._common import checkpointed, quoted, remove, shared_folder, unused
 
-#: A document is rejected if no language is likelier than this, or if it has no letters.
-LEAST_LANGUAGE_SCORE = 0.3
+#: A document is rejected if fewer of its distinct n-grams occur in any text that stands for a language: junk, or a language not learnt.
+LEAST_KNOWN = 0.5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled documents teach; a missing ``lang`` is filled in. If there are no labels, all stay."""
-    clash = {c: f"{c}__kept" for c in docs.columns if c in ("lang_pred", "score")}
-    found = langid.identify(docs.withColumnsRenamed(clash), F.lit(True))
+    """Documents in a language that the labelled documents teach; a missing ``lang`` is filled in.
+
+    Null texts and those without a letter go, and those of whose distinct n-grams less than ``LEAST_KNOWN`` are known. (How sure the
+    model is between the languages it knows says nothing of others, and does not count.) If there are no labels, all stay.
+    """
     if docs.where("lang is not null").isEmpty():
         return docs
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).withColumn("lang", F.coalesce("lang", "lang_pred"))
-    return kept.drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in clash.items()}).select(docs.columns)
+    added = unused(docs.columns, "lang_pred", "score", "known")
+    guess, _, known = added
+    kept = langid.identify(docs, F.lit(True), added=tuple(added)).where((F.col(guess) != "und") & (F.col(known) >= LEAST_KNOWN))
+    return kept.withColumn("lang", F.coalesce("lang", guess)).select(*map(quoted, docs.columns))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document of the smallest id; documents without an id stay."""
+    key, rows = unused(docs.columns, "kept_id", "kept_rows")
     classes = chosen_path.join(docs)
-    chosen = checkpointed(classes.where("doc_id = class_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("kept_rows")))
-    joined = docs.join(chosen.hint("shuffle_hash"), docs["doc_id"] == chosen["kept_id"], "left").where("kept_id is not null or doc_id is null")
-    kept = joined.select(*docs.columns)
-    if chosen.where("kept_rows > 1").isEmpty():
-        return kept
-    once = joined.where("kept_rows is null or kept_rows = 1").select(*docs.columns)
-    return once.unionByName(joined.where("kept_rows > 1").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    chosen = checkpointed(classes.where("doc_id = class_id").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias(rows)))
+    joined = docs.join(chosen.hint("shuffle_hash"), docs["doc_id"] == chosen[key], "left").where(F.col(key).isNotNull() | docs["doc_id"].isNull())
+    columns = [quoted(c) for c in docs.columns]
+    if chosen.where(F.col(rows) > 1).isEmpty():
+        return joined.select(*columns)
+    once = joined.where(F.coalesce(rows, F.lit(1)) == 1).select(*columns)
+    return once.unionByName(joined.where(F.col(rows) > 1).select(*columns).dropDuplicates(["doc_id", "text"]))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +55,9 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    taken = mixing.mixed(docs).where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
-    return taken.select(*docs.columns)
+    tokens, weight, copies, copy = unused(docs.columns, "mix_tokens", "mix_weight", "mix_copies", "mix_copy")
+    taken = mixing.mixed(docs, added=(tokens, weight, copies)).where(F.col(copies) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*map(quoted, docs.columns))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +78,7 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again by the next."""
+    """All stages over documents, each written to the shared folder and read again by the next; a stage's table is removed when the next stands."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
@@ -80,4 +86,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if k:
+                remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs

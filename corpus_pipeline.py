@@ -17,7 +17,7 @@ from trackloom.llm import bpe, chosen_path, langid, mixing, pii
 from trackloom.llm._common import checkpointed, quoted, remove, shared_folder, unused
 
 #: A document is rejected if fewer of its distinct n-grams occur in any text that stands for a language: junk, or a language not learnt.
-LEAST_KNOWN = 0.5
+LEAST_KNOWN = 0.25
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from trackloom.llm import bpe, chosen_path, langid, mixing, pii
 from trackloom.llm._common import checkpointed, quoted, remove, shared_folder, unused
 
-#: A document is rejected if fewer of its distinct n-grams occur in any text that stands for a language: junk, or a language not learnt.
-LEAST_KNOWN = 0.25
+#: A document is rejected if a smaller share of its distinct n-grams occurs in any text that stands for a language: another script, or junk.
+LEAST_KNOWN = 0.1
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

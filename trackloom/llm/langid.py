@@ -219,4 +219,4 @@ def identify(docs: DataFrame, learn: Column, per_language: int = 400, sample_byt
             names = [*(model.languages if model else []), "und"]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([names[i] for i in guess.tolist()], pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.float64())], names=schema.names)
 
-    return docs.select(*(quoted(f.name) for f in fields)).mapInArrow(run, schema)
+    return docs.select(*(quoted(f.name).alias("text" if f.name == "text" else f"c{i}") for i, f in enumerate(fields))).mapInArrow(run, schema)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, string_column
+from ._common import chunks, quoted, string_column
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -554,14 +554,14 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in text replaced by its kind; a null text stays null."""
     shared = docs.sparkSession.sparkContext.broadcast(train())
-    names = [f.name for f in docs.schema.fields]
-    text_at = names.index("text")
+    text_at = docs.schema.names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(shared.value)
         for batch in batches:
-            new = [redacted(t, every) if every else t for _, _, texts in _texts(batch, names[text_at]) for t, (_, every) in zip(texts, reader.spans(texts), strict=True)]
+            new = [redacted(t, every) if every else t for _, _, texts in _texts(batch, "text") for t, (_, every) in zip(texts, reader.spans(texts), strict=True)]
             column = pa.array(new, pa.string(), mask=np.asarray(batch.column(text_at).is_null())) if new else pa.array([], pa.string())
-            yield pa.RecordBatch.from_arrays([column if i == text_at else c for i, c in enumerate(batch.columns)], names=names)
+            yield pa.RecordBatch.from_arrays([column if i == text_at else c for i, c in enumerate(batch.columns)], names=docs_names)
 
-    return docs.mapInArrow(run, docs.schema)
+    docs_names = docs.schema.names
+    return docs.select(*(quoted(c).alias("text" if c == "text" else f"c{i}") for i, c in enumerate(docs_names))).mapInArrow(run, docs.schema)

@@ -120,7 +120,7 @@ def test_features_by_preset(spark):
     assert list(features.vectorise(moving, features.FeatureSpec(middle=True)).first()[1:]) == [2, 20]
     empty = features.vectorise(moving.where("false"), features.preset("ReVeRs"))
     assert empty.count() == 0 and len(empty.columns) == 7
-    with pytest.raises(ValueError, match="one of"):
+    with pytest.raises(ValueError, match="has points"):
         features.pick(F.lit(3), "x")
 
 
@@ -185,5 +185,5 @@ def test_exit_groups_need_enough_tracks(spark):
     ends = spark.createDataFrame([(i, float(i % 4), float(i % 4)) for i in range(40)], "track_id long, x_exit double, y_exit double")
     rows = clusters.exit_groups(ends, 4, 3).collect()
     assert all((r.track_id % 4) == r.exit_group for r in rows)
-    with pytest.raises(ValueError, match="at least 8"):
-        clusters.exit_groups(ends.limit(5))
+    few = clusters.exit_groups(ends.limit(5))  # ends early, without groups
+    assert few.columns == ["track_id", "exit_group"] and few.count() == 0

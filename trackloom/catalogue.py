@@ -22,9 +22,8 @@ ORACLE: dict[str, str] = {}
 FPS = 30.0
 NAMES = {v: k for k, v in CLASS_MAP.items()}
 COLOURS = {0: (255, 0, 0), 2: (0, 255, 0), 5: (0, 0, 255)}
-GRID = {"min_samples": [5, 10], "xis": [0.05, 0.1], "max_eps": [0.3, 2.0]}
-#: The reference's grid (scripts/tune_optics.py); ``GRID`` is that of the SQL of j09_grid.
-TUNING = {"min_samples": [10, 20, 30], "xis": [0.01, 0.03, 0.05], "max_eps": [0.1, 0.15, 0.2]}
+#: Parameters of density clustering that tuning tries.
+GRID = {"min_samples": [10, 20, 30], "xis": [0.01, 0.03, 0.05], "max_eps": [0.1, 0.15, 0.2]}
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -599,7 +598,7 @@ def _(spark, d):
 # Statistics and learning ------------------------------------------------------------------------------------------------------------------------
 
 
-@query("j09_grid", "SELECT CAST(m AS INTEGER) AS min_samples, x::DOUBLE AS xi, e::DOUBLE AS max_eps FROM (VALUES (5), (10)) AS a(m), (VALUES (0.05), (0.1)) AS b(x), (VALUES (0.3), (2.0)) AS c(e)", "xi max_eps")
+@query("j09_grid", "SELECT CAST(m AS INTEGER) AS min_samples, x::DOUBLE AS xi, e::DOUBLE AS max_eps FROM (VALUES (10), (20), (30)) AS a(m), (VALUES (0.01), (0.03), (0.05)) AS b(x), (VALUES (0.1), (0.15), (0.2)) AS c(e)", "xi max_eps")
 def _(spark, d):
     def one(name: str, values: list, kind: str) -> DataFrame:
         return spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
@@ -639,25 +638,13 @@ def _(spark, d):
     return classify.score_summary(spark.read.parquet(f"{d}/events.parquet").select(F.col("value").alias("score")))
 
 
-MANN = """WITH v AS (SELECT CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS side, round(value, 0) AS v FROM events WHERE event_id < 2000),
-ranked AS (SELECT side, v, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0::DOUBLE AS r FROM v)
-SELECT sum(r) FILTER (side = 1) - count(*) FILTER (side = 1) * (count(*) FILTER (side = 1) + 1) / 2.0::DOUBLE AS u FROM ranked"""
-
-
-@query("m09_mann_whitney_u", MANN, "u")
-def _(spark, d):
-    rows = spark.read.parquet(f"{d}/events.parquet").where("event_id < 2000").select("event_id", F.round("value", 0).alias("score"))
-    return classify.mann_whitney(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 <> 0")).select("u")
-
-
-MANN_ALL = """WITH ties AS (SELECT round(value, 0) AS v, count(*)::HUGEINT AS n, count(*) FILTER (event_id % 2 = 0)::HUGEINT AS n1 FROM events WHERE value IS NOT NULL GROUP BY 1),
+MANN = """WITH ties AS (SELECT round(value, 0) AS v, count(*)::HUGEINT AS n, count(*) FILTER (event_id % 2 = 0)::HUGEINT AS n1 FROM events WHERE value IS NOT NULL GROUP BY 1),
 ranked AS (SELECT n1, n1 * (2 * sum(n) OVER (ORDER BY v) - n + 1) AS r2 FROM ties)
 SELECT (sum(r2) - sum(n1) * (sum(n1) + 1)) / 2.0::DOUBLE AS u FROM ranked"""
 
 
-@query("m09_mann_whitney_u_all", MANN_ALL, "u")
+@query("m09_mann_whitney_u", MANN, "u")
 def _(spark, d):
-    """``m09_mann_whitney_u`` reads the first 2000 ids, as its SQL does; this one reads all events."""
     rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.round("value", 0).alias("score"))
     return classify.mann_whitney(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 <> 0")).select("u")
 
@@ -669,7 +656,7 @@ def _(spark, d):
 
 @query("m13_f11_t08_grid_search")
 def _(spark, d):
-    return optics.grid_search(ends(spark, d), list(clusters.ENDS), **TUNING).orderBy(F.desc("n_clusters"), "min_samples", "xi", "max_eps")
+    return optics.grid_search(ends(spark, d), list(clusters.ENDS), **GRID).orderBy(F.desc("n_clusters"), "min_samples", "xi", "max_eps")
 
 
 @query("m03_exit_groups")

@@ -90,7 +90,10 @@ def first_tracks(clusters: DataFrame, n: int) -> DataFrame:
 
 
 def exit_groups(ends: DataFrame, k: int = 8, starts: int = 10, seed: int = 42) -> DataFrame:
-    """track_id and exit_group: k-means on exit points, the best of several starts, groups numbered by their centres' place."""
+    """track_id and exit_group: k-means on exit points, the best of several starts, groups numbered by their centres' place.
+
+    Fewer tracks than groups have none: the result is empty.
+    """
     from multiprocessing.pool import ThreadPool
 
     from pyspark.ml.clustering import KMeans
@@ -100,7 +103,7 @@ def exit_groups(ends: DataFrame, k: int = 8, starts: int = 10, seed: int = 42) -
     n = points.count()  # and keeps the points
     if n < k:
         points.unpersist()
-        raise ValueError(f"{k} groups need at least {k} tracks, there are {n}")
+        return ends.where("false").select("track_id", F.lit(0).alias("exit_group"))
     with ThreadPool(min(4, starts)) as pool:  # starts are jobs of their own
         fitted = pool.map(lambda i: KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="group").fit(points), range(starts))
     best = min(fitted, key=lambda m: m.summary.trainingCost)

@@ -37,6 +37,11 @@ def reach_order(x: np.ndarray, min_samples: int, max_eps: float) -> tuple[np.nda
     return order, core, reach, before
 
 
+# The extraction of clusters from here on is the published one (Ankerst et al., 1999; predecessor correction by Schubert and Gertz, 2018) in
+# the form that scikit-learn gives it (cluster_optics_xi; BSD 3-Clause licence, copyright the scikit-learn developers), whose results it has
+# to match step by step.
+
+
 def steep_end(steep: np.ndarray, against: np.ndarray, start: int, min_samples: int) -> int:
     """The last steep place of the area that starts at ``start``: it ends before a step the other way, or after too many flat ones."""
     end, flat, i = start, 0, start + 1

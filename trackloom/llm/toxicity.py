@@ -196,10 +196,12 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
     by_class, own_grams, pooled = [], [], []
     none = np.zeros(0, np.uint64)
     for c in (0, 1):
-        three, pair, before, word = (np.concatenate([p[i] for p in pieces[c]] or [none]) for i in range(4))
-        once = np.unique(three, return_index=True)[1]
-        kind, where, count = np.unique(pair[once], return_index=True, return_counts=True)
-        by_class.append((kind, count, before[once[where]], word[once[where]]))
+        column = lambda i: np.concatenate([p[i] for p in pieces[c]] or [none])  # noqa: B023, E731
+        once = np.unique(column(0), return_index=True)[1]
+        kind, where, count = np.unique(column(1)[once], return_index=True, return_counts=True)
+        once = once[where]
+        by_class.append((kind, count, column(2)[once], column(3)[once]))
+        pieces[c].clear()
         keys, size, raw = (np.concatenate([p[i] for p in spelt[c]] or [none.astype(t)]) for i, t in enumerate((np.uint64, np.int64, np.uint8)))
         where = np.unique(keys, return_index=True)[1]
         end = np.cumsum(size)[where]
@@ -283,7 +285,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def all_differences(model: Model, texts: list[str]) -> np.ndarray:
     scorer = Scorer(model)
-    return np.concatenate([scorer.differences(raw, at) for _, _, raw, at in chunks(pa.array(texts, pa.large_string()))])
+    return np.concatenate([scorer.differences(raw, at) for _, _, raw, at in chunks(pa.array(texts, pa.large_string()), 1 << 20)])
 
 
 def fit(rows: list[tuple[str, int]]) -> Model | None:
@@ -291,16 +293,16 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     texts, toxic = [t for t, _ in rows], np.array([y for _, y in rows], np.int64)
     if len(set(toxic.tolist())) < 2:
         return None
-    model = train(texts, toxic)
     rank = np.zeros(len(toxic), int)
     for c in (0, 1):
         rank[toxic == c] = np.arange((toxic == c).sum())
     x, y = [], []
-    for part in range(FOLDS):
+    for part in range(FOLDS):  # one model at a time is held
         a, b = np.flatnonzero(rank % FOLDS != part), np.flatnonzero(rank % FOLDS == part)
         if len(set(toxic[a].tolist())) == 2 and len(b):
             x.append(all_differences(train([texts[i] for i in a], toxic[a]), [texts[i] for i in b]))
             y.append(toxic[b])
+    model = train(texts, toxic)
     if not x:
         x, y = [all_differences(model, texts)], [toxic]
     model.curve = logistic(np.concatenate(x), np.concatenate(y))

@@ -124,5 +124,5 @@ def test_candidates_come_from_probing(monkeypatch):
     index.retrieved = 0
     index.within(bits, np.full(len(bits), 20))
     assert index.retrieved < 0.5 * far.size  # whole codes are not compared for other rows
-    monkeypatch.setattr(multi_index.Shard, "probed", lambda self, bits, radius: np.zeros((len(bits), len(self.ids)), bool))
+    monkeypatch.setattr(multi_index.Shard, "probed", lambda self, bits, *_: np.zeros((len(bits), len(self.ids)), bool))
     assert len(index.search(np.zeros(5, int) - 1, x[:5], 3)[0]) == 0  # nothing comes by another way

@@ -36,7 +36,7 @@ from .crosspoly import vectors
 
 BITS, PIECE = 256, 16  # a substring has at most PIECE bits
 #: Rows of a shard: a sixteenth of all, but neither fewer nor more than this.
-LEAST, MOST = 4096, 1 << 16
+LEAST, MOST = 8192, 1 << 16
 
 
 @dataclass
@@ -121,29 +121,38 @@ class Shard:
         """The substrings, as numbers."""
         return [bits[:, i : i + self.piece] @ (1 << np.arange(min(self.piece, BITS - i))) for i in range(0, BITS, self.piece)]
 
-    def probed(self, bits: np.ndarray, radius: np.ndarray) -> np.ndarray:
-        """(queries, rows): which rows lie in a bucket that a query's radius makes it look up."""
+    def probed(self, bits: np.ndarray, radius: np.ndarray, done: np.ndarray | None = None) -> np.ndarray:
+        """(queries, rows): which rows lie in a bucket that a query's radius makes it look up; buckets of a radius ``done`` are left out."""
         pieces = len(self.tables)
         found = np.zeros((len(bits), len(self.ids)), bool)
+        reach_of = lambda r, j: np.clip(r // pieces - (j > r % pieces), -1, self.piece)
+        before = np.concatenate(([0], self.upto))  # masks of fewer bits than each reach
         for j, (mine, (upto, rows)) in enumerate(zip(self.cut(bits), self.tables, strict=True)):
-            reach = np.minimum(radius // pieces - (j > radius % pieces), self.piece)
-            for r in np.unique(reach[reach >= 0]).tolist():
-                q = np.flatnonzero(reach == r)
-                bucket = mine[q, None] ^ self.masks[None, : self.upto[r]]
-                first, count = upto[bucket], upto[bucket + 1] - upto[bucket]
-                some, n = gather(rows, first.ravel(), count.ravel())
+            first = np.zeros(len(bits), int) if done is None else before[reach_of(done, j) + 1]
+            last = before[reach_of(radius, j) + 1]
+            for a, b in {(int(a), int(b)) for a, b in zip(first, last, strict=True) if a < b}:
+                q = np.flatnonzero((first == a) & (last == b))
+                bucket = mine[q, None] ^ self.masks[None, a:b]
+                start = upto[bucket]
+                count = upto[bucket + 1] - start
+                some = gather(rows, start.ravel(), count.ravel())[0]
                 found[np.repeat(q, count.sum(1)), some] = True
         return found
 
-    def within(self, bits: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, row) of the codes within each query's radius: of rows that probing retrieves, those whose whole code is."""
-        q, r = np.nonzero(self.probed(bits, radius))
+    def retrieve(self, bits: np.ndarray, radius: np.ndarray, far: np.ndarray, done: np.ndarray | None = None) -> None:
+        """Whole codes are compared for rows that probing retrieves, unless they were before; ``far`` (queries, rows) takes the distances."""
+        q, r = np.nonzero(self.probed(bits, radius, done) & (far > BITS))
         self.retrieved += len(q)
-        code, keep = np.packbits(bits, 1).view(np.uint64), np.empty(len(q), bool)
+        code = np.packbits(bits, 1).view(np.uint64)
         for k in range(0, len(q), 200_000):
             a, b = q[k : k + 200_000], r[k : k + 200_000]
-            keep[k : k + 200_000] = np.bitwise_count(code[a] ^ self.words[b]).sum(1, dtype=np.uint16) <= radius[a]
-        return q[keep], r[keep]
+            far[a, b] = np.bitwise_count(code[a] ^ self.words[b]).sum(1, dtype=np.int16)
+
+    def within(self, bits: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of the codes within each query's radius."""
+        far = np.full((len(bits), len(self.ids)), BITS + 1, np.int16)
+        self.retrieve(bits, radius, far)
+        return np.nonzero(far <= radius[:, None])
 
     def search(self, own: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query number, row number, inner product) of the best ``k`` found for each query."""
@@ -152,7 +161,9 @@ class Shard:
         y = queries[:, : self.x.shape[1]]
         norm, bits = np.linalg.norm(queries, axis=1), self.coder.codes(queries, True)
         radius = np.full(len(y), max(self.coder.first(2.5 * k / len(self.ids)), len(self.tables)))
-        q, r, s = self.rerank(*self.within(bits, radius), y, own, k)
+        far = np.full((len(y), len(self.ids)), BITS + 1, np.int16)
+        self.retrieve(bits, radius, far)
+        q, r, s = self.rerank(*np.nonzero(far <= radius[:, None]), y, own, k)
         while True:
             worst, held = np.full(len(y), np.inf), np.bincount(q, minlength=len(y))
             np.minimum.at(worst, q, s)
@@ -161,7 +172,10 @@ class Shard:
             if not len(again):
                 return q, r, s
             done = ~np.isin(q, again)
-            q2, r2, s2 = self.rerank(*self.within(bits[again], wider[again]), y[again], own[again], k)
+            more = far[again]
+            self.retrieve(bits[again], wider[again], more, radius[again])
+            far[again] = more
+            q2, r2, s2 = self.rerank(*np.nonzero(more <= wider[again][:, None]), y[again], own[again], k)
             q, r, s = (np.concatenate((a[done], b)) for a, b in ((q, again[q2]), (r, r2), (s, s2)))
             radius = np.maximum(radius, wider)
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ._common import checkpointed
 
 #: A key is hot if it has more rows than this, and than this share of all rows: at most so many keys can be hot.
-HOT_ROWS, HOT_KEYS = 1000, 50_000
+HOT_ROWS, HOT_KEYS = 1000, 10_000
 
 
 def counts_of(rows: DataFrame, key: str) -> DataFrame:
@@ -28,8 +28,9 @@ def counts_of(rows: DataFrame, key: str) -> DataFrame:
 def dealt_join(rows: DataFrame, side: DataFrame, key: str | list[str], member: str, counts: DataFrame | None, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``side``, which has one row for a key; ``counts``: (key, n) of all keys that may be hot, None if none can.
 
-    A key with more than ``HOT_ROWS`` rows and more than one in ``HOT_KEYS`` of all rows is dealt over n / that many parts, by the hash of
-    ``member``. As at most ``HOT_KEYS`` keys can be, their list is broadcast; without one the join is a plain one.
+    Keys with more than ``HOT_ROWS`` rows and more than one in ``HOT_KEYS`` of all rows are dealt over as many parts as the largest of them
+    fills of that size, by the hash of ``member``. As at most ``HOT_KEYS`` keys can be, their list is a constant of the plan; without one
+    the join is a plain one. (Of several key columns the first tells which are hot.)
     """
     keys = [key] if isinstance(key, str) else key
     if counts is None:
@@ -38,9 +39,10 @@ def dealt_join(rows: DataFrame, side: DataFrame, key: str | list[str], member: s
     part = max(HOT_ROWS, about["all"] // HOT_KEYS)
     if about["most"] <= part:
         return rows.join(side, keys, how)
-    hot = F.broadcast(counts.where(F.col("n") > part).select(*keys, F.ceil(F.col("n") / part).cast("int").alias("parts")))
-    dealt = rows.join(hot, keys, "left").withColumn("salt", F.pmod(F.xxhash64(member), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    copies = side.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    hot = F.coalesce(F.col(keys[0]).isin([r[0] for r in counts.where(F.col("n") > part).select(keys[0]).collect()]), F.lit(False))
+    parts = -(-about["most"] // part)
+    dealt = rows.withColumn("salt", F.when(hot, F.pmod(F.xxhash64(member), F.lit(parts)).cast("int")).otherwise(0))
+    copies = side.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
     return dealt.join(copies, [*keys, "salt"], how).drop("salt")
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import scalar
 from trackloom.functions.quantiles import exact_quantiles
+from trackloom.functions.ranks import upto
 from trackloom.operators import charts, classify, cleaning, clusters, features, stats
 from trackloom.operators import trajectories as tr
 
@@ -100,6 +101,33 @@ def test_empirical_cdf_keeps_ties_apart(spark):
     assert [tuple(r) for r in got] == [(1.0, 0.25), (2.0, 0.5), (2.0, 0.75), (9.0, 1.0)]
 
 
+def test_empirical_cdf_of_a_frequent_value_and_of_nothing(spark):
+    values = [3.0] * 25_000 + [float(v) for v in range(100)] + [None, float("inf")]
+    got = stats.empirical_cdf(spark.createDataFrame([(v,) for v in values], "v double"), "v").orderBy("fraction").collect()
+    want = sorted(v for v in values if v is not None)
+    assert [tuple(r) for r in got] == [(v, (i + 1) / len(want)) for i, v in enumerate(want)]
+    assert stats.empirical_cdf(spark.createDataFrame([], "v double"), "v").count() == 0
+
+
+def test_running_totals_over_ranges(spark):
+    values = [-float("inf"), -3.0, 0.0, 1.5, 1e300, float("inf"), float("nan")]
+    got = upto(spark.createDataFrame([(v, i + 1) for i, v in enumerate(values)], "v double, n long"), "v", "n", "total").orderBy("total").collect()
+    assert [r.total for r in got] == [sum(range(1, i + 2)) for i in range(7)] and [str(r.v) for r in got] == [str(v) for v in values]
+
+
+def test_folds_of_a_frequent_label(spark):
+    rows = spark.range(1000).selectExpr("id AS track_id", "CASE WHEN id % 10 < 8 THEN 'a' WHEN id % 10 = 8 THEN 'b' END AS label")
+    got = classify.stratified_folds(rows, 3, 5)
+    assert got.columns == ["track_id", "label", "fold"] and got.select("track_id").distinct().count() == 1000
+    counts = {(r.label, r.fold): r["count"] for r in got.groupBy("label", "fold").count().collect()}
+    assert counts == {(x, f): (n + 2 - f) // 3 for x, n in (("a", 800), ("b", 100), (None, 100)) for f in range(3)}
+
+
+def test_random_rows_do_not_depend_on_the_layout(spark):
+    rows = spark.range(500).selectExpr("id", "id / 7 AS v")
+    assert {r.id for r in stats.random_rows(rows, 20, 3).collect()} == {r.id for r in stats.random_rows(rows.repartition(7), 20, 3).collect()}
+
+
 def test_random_rows(spark):
     assert stats.random_rows(spark.range(50), 7, 1).distinct().count() == 7 and stats.random_rows(spark.range(3), 7, 1).count() == 3
 

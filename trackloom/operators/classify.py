@@ -14,6 +14,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import upto
+
 
 def squared_distance(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
@@ -121,9 +123,20 @@ def make_model(kind: str):
 
 
 def stratified_folds(rows: DataFrame, k: int, seed: int) -> DataFrame:
-    """``rows`` with fold 0 .. k - 1, each label spread evenly, in an order drawn from the seed."""
-    order = Window.partitionBy("label").orderBy(F.xxhash64("track_id", F.lit(seed)), "track_id")
-    return rows.withColumn("fold", ((F.row_number().over(order) - 1) % k).cast("int"))
+    """``rows`` with fold 0 .. k - 1, each label spread evenly, in an order drawn from the seed.
+
+    A label is dealt by hash into as many parts as there are shuffle partitions, so that no task numbers all rows of a frequent one.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = F.xxhash64("track_id", F.lit(seed))
+    dealt = rows.withColumn("_part", F.pmod(drawn, F.lit(parts)))
+    inside = Window.partitionBy("label", "_part").orderBy(drawn, "track_id")
+    numbered = dealt.withColumn("_place", F.row_number().over(inside) - 1)
+    sizes = dealt.groupBy(F.col("label").alias("_label"), F.col("_part").alias("_of")).agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy("_label").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_label", "_of", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    joined = numbered.join(before, F.col("label").eqNullSafe(F.col("_label")) & (F.col("_part") == F.col("_of")))
+    return joined.withColumn("fold", ((F.col("_place") + F.col("_before")) % k).cast("int")).drop("_part", "_place", "_label", "_of", "_before")
 
 
 def balanced_accuracy(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -153,8 +166,7 @@ def score_summary(scores: DataFrame) -> DataFrame:
 def mid_ranks(values: DataFrame) -> DataFrame:
     """``values`` (side, v) by value: how many of each side, and the middle of their ranks."""
     ties = values.groupBy("v").agg(F.count("*").alias("n"), F.count_if(F.col("side") == 1).alias("n1"))
-    upto = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    return ties.withColumn("rank", F.sum("n").over(upto) - (F.col("n") - 1) / 2)
+    return upto(ties, "v", "n", "rank").withColumn("rank", F.col("rank") - (F.col("n") - 1) / 2)
 
 
 def exact_tail(n1: int, n2: int, u: float) -> float:

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
+from ..functions.ranks import upto
+
+#: How many rows of one value a step of the empirical distribution makes.
+RUN = 10_000
 
 
 def track_stats(trajectories: DataFrame) -> DataFrame:
@@ -64,18 +68,16 @@ def histogram_2d(table: DataFrame, x: str, y: str, bins: int) -> DataFrame:
 
 
 def empirical_cdf(table: DataFrame, column: str) -> DataFrame:
-    """value and fraction: the i-th smallest value with i / n, ties apart. Ranks come from range partitions, so no task sorts all rows."""
-    from pyspark.sql import Window
+    """value and fraction: the i-th smallest value with i / n, ties apart.
 
-    spark = table.sparkSession
-    values = table.select(F.col(column).alias("value")).where("value is not null")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = values.repartitionByRange(parts, "value").withColumn("_part", F.spark_partition_id())
-    ranged = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy("value")))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    whole = Window.orderBy("_part")
-    before = sizes.select("_part", (F.sum("_n").over(whole.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_all"))
-    return ranged.join(F.broadcast(before), "_part").select("value", ((F.col("_before") + F.col("_in")) / F.col("_all")).alias("fraction"))
+    Ranks are found over the distinct values and their counts; a frequent value is spread in runs of ``RUN`` rows, so no task makes all.
+    """
+    values = table.select(F.col(column).cast("double").alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
+    whole = F.broadcast(values.agg(F.sum("n").alias("all")))  # one row
+    first = F.col("last") - F.col("n")
+    runs = upto(values, "value", "n", "last").crossJoin(whole).select("value", "all", "last", F.explode(F.sequence(first + 1, F.col("last"), F.lit(RUN).cast("bigint"))).alias("start"))
+    places = F.sequence("start", F.least(F.col("start") + RUN - 1, F.col("last")))
+    return runs.repartition("value", "start").select("value", "all", F.explode(places).alias("place")).select("value", (F.col("place") / F.col("all")).alias("fraction"))
 
 
 def largest_per_track(moving: DataFrame) -> DataFrame:
@@ -83,5 +85,5 @@ def largest_per_track(moving: DataFrame) -> DataFrame:
 
 
 def random_rows(table: DataFrame, n: int, seed: int) -> DataFrame:
-    """Exactly min(n, rows) rows without replacement."""
-    return table.withColumn("_order", F.rand(seed)).orderBy("_order").limit(n).drop("_order")
+    """Exactly min(n, rows) rows without replacement, by a hash of their values: the same ones however the table is cut into files."""
+    return table.orderBy(F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in table.columns))).limit(n)

@@ -38,3 +38,14 @@ def test_nearest_rows_without_rows(spark):
     assert neighbours.nearest_rows(none, some, 3).count() == neighbours.nearest_rows(some, none, 3).count() == 0
 
 
+def test_all_folds_at_once_are_fold_by_fold(spark, folder, monkeypatch):
+    """The folds of all repeats in one search are what one search for each fold finds."""
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    rows = catalogue.points(spark, folder)
+    dealt = rows.withColumns({"fold0": F.col("track_id") % 3, "fold1": F.floor(F.col("track_id") / 7) % 3, "row": F.col("track_id") + 1000}).withColumn("features", F.col("features").cast("array<double>"))
+    got = {(r.row - 1000, r.repeat): r.prediction for r in classify.Nearest().predict_folds(dealt, 3, 2).collect()}
+    for repeat in range(2):
+        for f in range(3):
+            fold = F.col(f"fold{repeat}")
+            want = classify.nearest_labels(dealt.where(fold != f), dealt.where(fold == f)).collect()
+            assert len(want) > 100 and all(got[r.track_id, repeat] == r.prediction for r in want)

@@ -50,3 +50,24 @@ def test_scenes_and_grid(spark):
     grid = optics.grid_search(ends.where("scene = 'a'"), cols, [5, 10], [0.05], [0.5, 2.0]).collect()
     assert len(grid) == 4 and all(r.pct_outliers == pytest.approx(100 * r.n_outliers / 40) for r in grid)
     assert optics.good_parameters(spark.createDataFrame([(7,), (8,), (20,), (21,)], "n_clusters long")).count() == 2
+
+
+def test_a_grid_of_cells_changes_nothing():
+    """Distances are asked for around a point only, and give the order that all distances give; copies, an outlier and one place included."""
+    r = np.random.default_rng(4)
+    x = np.concatenate((r.random((600, 4)), np.repeat(r.random((3, 4)), 40, 0), [[50.0, 0, 0, 0]]))
+    for points, eps in ((x, 0.15), (x, 0.3), (np.zeros((50, 4)), 0.1), (x[:, :1], 0.0), (x, np.inf)):
+        n = len(points)
+        order, core, reach, before = optics.reach_order(points, 5, eps)
+        d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
+        want = np.sort(d, 1)[:, 4]
+        want[want > eps] = np.inf
+        np.testing.assert_allclose(core, want, rtol=1e-12)
+        waiting, best = np.ones(n, bool), np.full(n, np.inf)
+        for i in order.tolist():
+            assert i == np.flatnonzero(waiting)[np.argmin(best[waiting])] and np.isclose(best[i], reach[i], rtol=1e-12)
+            waiting[i] = False
+            best = np.where(waiting & (d[i] <= eps) & np.isfinite(core[i]), np.minimum(best, np.maximum(d[i], core[i])), best)
+        assert (before >= 0).sum() == np.isfinite(reach).sum()
+    near = optics.Near(r.random((5000, 4)), 0.1)
+    assert max(len(near.candidates(i)) for i in range(5000)) < 500

@@ -90,3 +90,18 @@ def test_no_count_is_lost_however_many_there_are(spark, monkeypatch):
     monkeypatch.setattr(bloom_lm, "COLLECTED", 8_000)
     sliced = {(r.doc_id, r.n_tokens): r.score for r in bloom_lm.score(documents(spark, rows), learn, ~learn).collect()}
     assert len(kept) > 3 and whole.keys() == sliced.keys() and all(sliced[k] == pytest.approx(v, rel=1e-12) for k, v in whole.items())
+
+
+def test_weights_are_fitted_on_all_learning_texts(spark, monkeypatch):
+    """Every token of every learning text counts, and the table of levels gives the weights that the texts give."""
+    rows = [(i, f"w{i % 50} the a w{i % 7}", "en", "s", 0, 0.5, 1) for i in range(4000)]
+    learn, seen, fit = fold("doc_id", 10) != 0, [], bloom_lm.Filter.fit_counts
+    monkeypatch.setattr(bloom_lm.Filter, "fit_counts", lambda self, *a: seen.append((a[3].sum(), *a[:4])) or fit(self, *a))
+    docs = documents(spark, rows)
+    (row, *_) = bloom_lm.score(docs, learn, ~learn).collect()
+    assert seen[0][0] == row.train_tokens == 5 * docs.where(learn).count() > 5 * 3000
+    _, first, level, pair, n = seen[0]
+    a, b = (bloom_lm.Filter([], 100, 10) for _ in range(2))
+    fit(a, first, level, pair, n)
+    fit(b, *(np.repeat(x, n) for x in (first, level, pair)), 1)
+    assert np.allclose(a.weight, b.weight)

@@ -10,8 +10,8 @@ pass; with more, each pass adds the levels of its slice to those carried along w
 (``build`` can also make segments of ``SEGMENT_BITS`` bits whose quantiser's floor rises above ``CAPACITY`` entries; ``score`` doesn't.)
 
 The probability of a token after another interpolates the pair's relative frequency with the token's own smoothed frequency; the weight
-for each level of the first token's count is fitted by expectation maximisation, leaving one occurrence out, on a bounded sample of
-learning texts. The base score is exact: frequent tokens' counts (the ``TOP`` most frequent, a fixed number) are broadcast, the others
+for each level of the first token's count is fitted by expectation maximisation, leaving one occurrence out, on all learning texts: it
+depends on the levels of token, pair and first token only, and the table of how often each three occur together holds all there is to know. The base score is exact: frequent tokens' counts (the ``TOP`` most frequent, a fixed number) are broadcast, the others
 are joined by hash.
 
 Null and empty texts have the end token alone. With nothing to learn from, counts are 0. Rows are kept apart by position, so repeated
@@ -20,11 +20,13 @@ ids and rows are scored one by one; further columns are ignored.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -196,22 +198,23 @@ class Filter:
         return np.log10(w * relative + (1 - w) * self.alone(level))
 
     def fit(self, texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rounds: int = 12) -> None:
-        """Weights of the pair's relative frequency, by level of the first token, leaving the occurrence at hand out; texts: (upto, level, pair)."""
-        first, relative, alone = [], [], []
-        for upto, level, pair in texts:
-            f = before(upto, level)
-            joint, from_ = self.count(pair, 1), self.count(f, 0)
-            first.append(f)
-            relative.append(np.minimum(1, np.maximum(joint - 1, 0) / np.maximum(from_ - 1, 1)))
-            alone.append((np.maximum(self.count(level, 0) - 1, 0) + 0.1) / (self.total + 0.1 * (self.vocabulary + 1)))
-        if not first:
+        """Weights from texts: (upto, level, pair)."""
+        if texts:
+            self.fit_counts(*(np.concatenate(x) for x in zip(*((before(upto, level), level, pair) for upto, level, pair in texts), strict=True)), 1, rounds)
+
+    def fit_counts(self, first: np.ndarray, level: np.ndarray, pair: np.ndarray, n: np.ndarray | int, rounds: int = 12) -> None:
+        """Weights of the pair's relative frequency, by level of the first token, leaving the occurrence at hand out; n: how often the three levels occur."""
+        if not len(first):
             return
-        f, r, a = np.concatenate(first), np.concatenate(relative), np.concatenate(alone)
-        seen = np.bincount(f, minlength=64)
+        joint, from_ = self.count(pair, 1), self.count(first, 0)
+        r = np.minimum(1, np.maximum(joint - 1, 0) / np.maximum(from_ - 1, 1))
+        a = (np.maximum(self.count(level, 0) - 1, 0) + 0.1) / (self.total + 0.1 * (self.vocabulary + 1))
+        n = np.broadcast_to(np.asarray(n, float), first.shape)
+        seen = np.bincount(first, n, 64)
         for _ in range(rounds):
-            w = self.weight[f]
+            w = self.weight[first]
             share = w * r / (w * r + (1 - w) * a)
-            self.weight = np.clip((np.bincount(f, share, 64) + 1) / (seen + 2), 0.02, 0.95)
+            self.weight = np.clip((np.bincount(first, n * share, 64) + 1) / (seen + 2), 0.02, 0.95)
 
 
 def before(upto: np.ndarray, level: np.ndarray) -> np.ndarray:
@@ -232,16 +235,36 @@ def carried(column: pa.Array, start: int, end: int) -> np.ndarray | int:
 
 
 def add_levels(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """rid, doc_id, held_out, text, word, pair: the levels of the slice at hand are added to the last two."""
+    """rid, doc_id, held_out, text, word, pair, learn: the levels of the slice at hand are added to word and pair."""
     for batch in batches:
         for start, end, raw, at in chunks(string_column(batch, "text"), 1 << 20):
             token, _, upto = tokens(raw, at)
             summed = [(own + carried(batch.column(4 + i), start, end)).astype(np.uint8) for i, own in enumerate(shared.value.found(token, upto))]
             found = [pa.Array.from_buffers(pa.binary(), end - start, [None, pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(x)]) for x in summed]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, end - start) for i in range(4)), *found], names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, end - start) for i in range(4)), *found, batch.column(6).slice(start, end - start)], names=batch.schema.names)
+
 
+def level_rows(word: pa.Array, pair: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first, end, upto, level, pair) of successive rows of about a million tokens."""
+    upto = np.concatenate(([0], np.cumsum(pc.binary_length(word).to_numpy(zero_copy_only=False)))).astype(np.int64)
+    start = 0
+    while start < len(word):
+        end = min(len(word), max(start + 1, int(np.searchsorted(upto, upto[start] + (1 << 20), "right")) - 1))
+        yield start, end, upto[start : end + 1] - upto[start], carried(word, start, end), carried(pair, start, end)
+        start = end
 
-def score(docs: DataFrame, learn: Column, held_out: Column, sample: int = 1500) -> DataFrame:
+
+def tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """code, n: how often each three levels (of the token before, the token and the pair, six bits each) occur in rows word, pair."""
+    total = np.zeros(1 << 18, np.int64)
+    for batch in batches:
+        for _, _, upto, level, pair in level_rows(batch.column(0), batch.column(1)):
+            total += np.bincount((before(upto, level) << 12) + (level.astype(np.int64) << 6) + pair, minlength=len(total))
+    code = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], names=["code", "n"])
+
+
+def score(docs: DataFrame, learn: Column, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text; the rows where ``learn`` holds are learnt from."""
     spark = docs.sparkSession
     training = docs.where(learn)
@@ -263,22 +286,15 @@ def score(docs: DataFrame, learn: Column, held_out: Column, sample: int = 1500)
         for a, b in slices([x for x in sizes if first <= x[0] <= last], COLLECTED):
             yield from built.where(F.col("segment").between(a, b)).collect()
 
-    rows = training.count()
-    share, order = int(min(1.0, sample / max(1, rows)) * (1 << 30)), F.pmod(F.xxhash64("doc_id", "text", F.lit(8)), F.lit(1 << 30))
-    texts = [r.text or "" for r in training.where(order < share).select("text").orderBy(order, F.xxhash64("text")).limit(2 * sample).collect()]
-    seen = [tokens(raw, at)[::2] for _, _, raw, at in chunks(pa.array(texts, pa.large_string()))]
-    learnt = [[np.zeros(len(token), np.uint8)] * 2 for token, _ in seen]
     none = F.lit(None).cast("binary")
-    keyed = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text", none.alias("word"), none.alias("pair"))
+    keyed = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text", none.alias("word"), none.alias("pair"), F.coalesce(learn, F.lit(False)).alias("learn"))
     ranges = slices(sizes, SLICE) or [(0, -1)]
     for a, b in ranges:
         model = Filter(rows_of(a, b), size.total, size.kinds)
-        learnt = [[x + y for x, y in zip(sums, model.found(*s), strict=True)] for sums, s in zip(learnt, seen, strict=True)]
         if (a, b) != ranges[-1]:
             slice_ = spark.sparkContext.broadcast(model)
             keyed = checkpointed(keyed.mapInArrow(partial(add_levels, shared=slice_), keyed.schema))
             slice_.destroy()
-    model.fit([(upto, *sums) for (_, upto), sums in zip(seen, learnt, strict=True)])
     shared = spark.sparkContext.broadcast((model, *(top.column(i).to_numpy() for i in (0, 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,29 +307,40 @@ def score(docs: DataFrame, learn: Column, held_out: Column, sample: int = 1500)
             for start, end, raw, at in chunks(string_column(batch, "text"), 1 << 20):
                 token, row, upto = tokens(raw, at)
                 n = end - start
-                logs = np.bincount(row, model.logs(upto, *(own + carried(batch.column(4 + i), start, end) for i, own in enumerate(model.found(token, upto)))), n)
+                levels_ = [(own + carried(batch.column(4 + i), start, end)).astype(np.uint8) for i, own in enumerate(model.found(token, upto))]
                 keys, back = np.unique(signed(token), return_inverse=True)
                 i = np.minimum(np.searchsorted(gram, keys), max(0, len(gram) - 1))
                 hit = gram[i] == keys if len(gram) else np.zeros(len(keys), bool)
                 c = np.where(hit, count[i] if len(gram) else 0, 0)
                 hit, base = hit[back], np.where(hit, np.log10((c + 0.1) / scale), 0)[back]
                 rest = np.flatnonzero(~hit)
-                both = np.unique(np.rec.fromarrays([row[rest], signed(token)[rest]], names="row,gram"), return_counts=True) if len(rest) else None
-                columns = [
-                    np.concatenate((rid[start:end], rid[start + both[0]["row"]] if both else rid[:0])),
-                    np.concatenate((signed(mix(rid[start:end].astype(np.uint64))), both[0]["gram"] if both else rid[:0])),
-                    np.concatenate((np.zeros(n, np.int64), both[1] if both else rid[:0])),
-                ]
-                more = len(columns[0]) - n
-                values = [np.diff(upto), np.bincount(row, hit, n).astype(np.int64), np.bincount(row, base, n), logs]
-                blank = np.concatenate((np.zeros(n, bool), np.ones(more, bool)))
-                own = [pa.concat_arrays([c.slice(start, n), pa.nulls(more, c.type)]) for c in (ids, held)]
+                both, tf = np.unique(np.rec.fromarrays([row[rest], signed(token)[rest]], names="row,gram"), return_counts=True) if len(rest) else (None, np.zeros(0, np.int64))
+                lists = pa.array((np.searchsorted(both["row"], np.arange(n + 1)) if len(rest) else np.zeros(n + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in columns] + own + [pa.array(np.concatenate((v, np.zeros(more, v.dtype))), mask=blank) for v in values],
-                    names=["rid", "gram", "tf", "doc_id", "held_out", "n_tokens", "known", "base", "logs"],
+                    [pa.array(rid[start:end]), ids.slice(start, n), held.slice(start, n), batch.column(6).slice(start, n), pa.array(np.diff(upto)), pa.array(np.bincount(row, hit, n).astype(np.int64)), pa.array(np.bincount(row, base, n))]
+                    + [pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(x)]) for x in levels_]
+                    + [pa.ListArray.from_arrays(lists, pa.array(np.ascontiguousarray(both["gram"]) if len(rest) else np.zeros(0, np.int64))), pa.ListArray.from_arrays(lists, pa.array(tf.astype(np.int64)))],
+                    names=["rid", "doc_id", "held_out", "learn", "n_tokens", "known", "base", "word", "pair", "grams", "tfs"],
                 )
 
-    found = keyed.mapInArrow(run, "rid long, gram long, tf long, doc_id long, held_out boolean, n_tokens long, known long, base double, logs double")
+    # The texts are read once; what the weights and the scores need is kept: two bytes a token, and the counts of rarer tokens.
+    kept = checkpointed(keyed.mapInArrow(run, "rid long, doc_id long, held_out boolean, learn boolean, n_tokens long, known long, base double, word binary, pair binary, grams array<long>, tfs array<long>"))
+    tally = kept.where("learn").select("word", "pair").mapInArrow(tallied, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    code, often = (tally.column(i).to_numpy() for i in (0, 1))
+    weights = copy.copy(model)
+    weights.bits = np.zeros(0, np.uint8)  # levels are known by now
+    weights.fit_counts(code >> 12, code >> 6 & 63, code & 63, often)
+
+    def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, end, upto, level, pair in level_rows(batch.column(6), batch.column(7)):
+                total = np.bincount(np.repeat(np.arange(end - start), np.diff(upto)), weights.logs(upto, level.astype(np.int64), pair.astype(np.int64)), end - start)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, end - start) for i in range(6)), pa.array(total)], names=[*batch.schema.names[:6], "logs"])
+
+    own = ["doc_id", "held_out", "n_tokens", "known", "base"]
+    scored = kept.select("rid", *own, "word", "pair").mapInArrow(logs, "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, logs double")
+    rarer = kept.select("rid", F.explode(F.arrays_zip("grams", "tfs")).alias("g")).select("rid", F.col("g.grams").alias("gram"), F.col("g.tfs").alias("tf"))
+    found = scored.withColumns({"gram": F.xxhash64("rid"), "tf": F.lit(0).cast("long")}).unionByName(rarer, True)
     scale = float(size.total) + 0.1 * (size.kinds + 1)
     count = F.coalesce(F.col("n"), F.lit(0))
     summed = (

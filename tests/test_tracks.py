@@ -215,3 +215,12 @@ def test_exit_groups_need_enough_tracks(spark):
     assert all((r.track_id % 4) == r.exit_group for r in rows)
     few = clusters.exit_groups(ends.limit(5))  # ends early, without groups
     assert few.columns == ["track_id", "exit_group"] and few.count() == 0
+
+
+@pytest.mark.parametrize("kind", ["svm", "mlp"])
+def test_folds_are_fitted_together(spark, kind, monkeypatch):
+    model = classify.make_model(kind)
+    monkeypatch.setattr(model, "fit_predict", None)  # no fold is fitted by itself
+    rows = blobs(spark).unionByName(spark.createDataFrame([(900, None, 1)], "track_id long, features array<double>, label int"))
+    scores = [r.score for r in classify.cross_validate(model, rows, 2, 2).collect()]
+    assert len(scores) == 2 and 0.8 < min(scores) and max(scores) < 1  # the row without features counts as missed

@@ -224,3 +224,44 @@ def test_folds_are_fitted_together(spark, kind, monkeypatch):
     rows = blobs(spark).unionByName(spark.createDataFrame([(900, None, 1)], "track_id long, features array<double>, label int"))
     scores = [r.score for r in classify.cross_validate(model, rows, 2, 2).collect()]
     assert len(scores) == 2 and 0.8 < min(scores) and max(scores) < 1  # the row without features counts as missed
+
+
+def test_trees_of_all_folds_are_grown_in_one_job(spark, monkeypatch):
+    model = classify.make_model("dt")
+    monkeypatch.setattr(type(model), "fit_predict", None)  # no fold is fitted by itself
+    odd = spark.createDataFrame([(900, None, 1), (901, [1.0, None], 1), (902, [1.0, float("nan")], 1)], "track_id long, features array<double>, label int")
+    scores = [r.score for r in classify.cross_validate(model, blobs(spark).unionByName(odd), 2, 2).collect()]
+    assert len(scores) == 2 and 0.8 < min(scores) and max(scores) < 1  # rows without whole features count as missed
+
+
+def plain_tree(x, y, asked, depth):
+    """By trying every split of every node."""
+    names, counts = np.unique(y, return_counts=True)
+    said = np.full(len(asked), names[counts.argmax()])
+    pure = lambda part: (np.unique(part, return_counts=True)[1] ** 2).sum() / len(part)
+    best = (-1, 0, 0)
+    for j in range(x.shape[1]):
+        values = np.unique(x[:, j])
+        for cut in (values[:-1] + values[1:]) / 2:
+            low = x[:, j] <= cut
+            if (now := pure(y[low]) + pure(y[~low])) > best[0]:
+                best = (now, j, cut)
+    if depth and len(names) > 1 and best[0] > 0:
+        low, to = x[:, best[1]] <= best[2], asked[:, best[1]] <= best[2]
+        said[to], said[~to] = plain_tree(x[low], y[low], asked[to], depth - 1), plain_tree(x[~low], y[~low], asked[~to], depth - 1)
+    return said
+
+
+@pytest.mark.parametrize("values", [3, 1000])
+def test_tree_tries_every_split(spark, values):
+    r = np.random.default_rng(values)
+    x, y = r.integers(0, values, (150, 3)).astype(float), r.integers(0, 4, 150)
+    frame = lambda at: spark.createDataFrame([(int(i), x[i].tolist(), int(y[i])) for i in at], "track_id long, features array<double>, label int")
+    got = {p.track_id: p.prediction for p in classify.make_model("dt").fit_predict(frame(range(100)), frame(range(100, 150))).collect()}
+    assert [got[i] for i in range(100, 150)] == plain_tree(x[:100], y[:100], x[100:], 14).tolist()
+
+
+def test_tree_finds_one_value_among_many(spark):
+    train = spark.range(3000).selectExpr("id AS track_id", "array(double(id)) AS features", "int(id = 1234) AS label")
+    test = spark.createDataFrame([(-v, [float(v)]) for v in (1233, 1234, 1235)], "track_id long, features array<double>")
+    assert {-r.track_id: r.prediction for r in classify.make_model("dt").fit_predict(train, test).collect()} == {1233: 0, 1234: 1, 1235: 0}

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -83,3 +84,19 @@ def test_distinct_and_index_with_shared_places():
     index = langid.Index(np.unique(keys)[::2])
     number = index(keys)
     assert (index.keys[number[number > 0]] == keys[number > 0]).all() and ((number > 0) == np.isin(keys, np.unique(keys)[::2])).all()
+
+
+def test_memory_does_not_grow_with_the_batch():
+    model = langid.fit([(text, lang) for _, text, lang, *_ in corpus(60, 1)])
+    texts = [*[t for _, t, *_ in corpus(6000, 2)] * 4, None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    tracemalloc.start()
+    try:
+        parts, peak = list(langid.identified(iter([batch]), model, ["id", "text", *langid.ADDED])), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    whole = langid.predict(model, *buffers(pa.array([t or "" for t in texts], pa.large_string())), langid.Distinct())
+    rows = pa.Table.from_batches(parts)
+    assert rows.column("id").to_pylist() == list(range(len(texts))) and rows.column("lang_pred").to_pylist() == [[*model.languages, "und"][i] for i in whole[0]]
+    assert np.array_equal(rows.column("score").to_numpy(), whole[1]) and np.array_equal(rows.column("known").to_numpy(), whole[2])
+    assert len(parts) > 1 and peak < 90e6, peak

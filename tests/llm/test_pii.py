@@ -1,6 +1,8 @@
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -139,3 +141,23 @@ def test_long_spans_of_the_model_at_all_starts(model):
     texts = ["the word " * 8 + "x" * k + " 4111.1111.1111.1111 word and the other word " * 1 + "word the " * 8 for k in range(32)]
     got = [any(kind == 2 for kind, _, _ in every) for _, every in pii.Reader(model).spans(texts)]
     assert sum(got) >= 31
+
+
+def test_memory_does_not_grow_with_the_batch(model):
+    reader = pii.Reader(model)
+    text = "some plain words that say very little, " * 25_000  # about a megabyte
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array([text, "", None, "mail a.b@c.org now", text, text, text])], names=["c0", "text"])
+    tracemalloc.start()
+    try:
+        sizes, rows = [], []
+        for part in pii.redacted_batches(iter([batch]), reader, 1, ["id", "text"]):
+            sizes.append(sum(len(t or "") for t in part.column(1).to_pylist()))
+            rows += part.column(0).to_pylist()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        reader.decode([text] * 4)  # more windows than are read together
+        whole = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == list(range(7)) and max(sizes) <= 1 << 20
+    assert peak < 90e6 and whole < 190e6, (peak, whole)

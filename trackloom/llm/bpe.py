@@ -24,7 +24,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import chunks, slice_hashes, string_column
+from ._common import CHUNK, chunks, slice_hashes, string_column
 
 LETTER, NUMBER, OTHER, BLANK = range(4)
 #: The code points with the property White_Space.
@@ -303,7 +303,7 @@ def bpe_digest(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
         encoder = Encoder(ranks.value)
         for batch in batches:
             keys = batch.column(0).cast(pa.int64())
-            for first, end, raw, at in chunks(string_column(batch, "text")):
+            for first, end, raw, at in chunks(string_column(batch, "text"), CHUNK // 2 if with_ids else CHUNK):
                 ids, upto = encoder.encode(raw, at)
                 back, lengths = encoder.decode(ids)
                 ends = np.concatenate(([0], np.cumsum(lengths)))[upto]

@@ -29,6 +29,8 @@ from ._common import chunks, mix, quoted, string_column
 from .bpe import LETTER, code_point_classes, gather
 
 SLOTS = 1 << 22
+#: Bytes of text that are labelled together: a pass holds some eighty bytes for each.
+PART = 1 << 19
 ADDED = ("lang_pred", "score", "known")
 
 
@@ -202,6 +204,17 @@ def sample(docs: DataFrame, learn: Column, per_language: int, sample_bytes: int)
     return [(r.text or "", r.lang) for r in sorted(rows, key=lambda r: (r.o, r.t, r.lang))]
 
 
+def identified(batches: Iterator[pa.RecordBatch], model: Model | None, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The batches, in parts of about ``PART`` bytes of text, with the language, score and known of each row."""
+    distinct = Distinct()
+    languages = [*(model.languages if model else []), "und"]
+    for batch in batches:
+        for first, end, raw, at in chunks(string_column(batch, "text"), PART):
+            n = end - first
+            guess, score, known = predict(model, raw, at, distinct) if model else (np.full(n, -1), np.zeros(n), np.zeros(n))
+            yield pa.RecordBatch.from_arrays([*batch.slice(first, n).columns, pa.array([languages[i] for i in guess.tolist()], pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.float64())], names=names)
+
+
 def identify(docs: DataFrame, learn: Column, per_language: int = 400, sample_bytes: int = 64 << 20, added: tuple[str, str, str] = ADDED) -> DataFrame:
     """``docs`` with lang_pred, score and known, under the names ``added``; the model learns from text and lang of the rows where ``learn`` holds."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(sample(docs, learn, per_language, sample_bytes)))
@@ -209,14 +222,6 @@ def identify(docs: DataFrame, learn: Column, per_language: int = 400, sample_byt
     schema = T.StructType([*fields, *(T.StructField(a, kind) for a, kind in zip(added, (T.StringType(), T.DoubleType(), T.DoubleType()), strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, distinct = shared.value, Distinct()
-        for batch in batches:
-            if model is None:
-                guess, score, known = np.full(batch.num_rows, -1), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            else:
-                parts = [predict(model, raw, at, distinct) for _, _, raw, at in chunks(string_column(batch, "text"))]
-                guess, score, known = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, int) for i in range(3))
-            names = [*(model.languages if model else []), "und"]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([names[i] for i in guess.tolist()], pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.float64())], names=schema.names)
+        yield from identified(batches, shared.value, schema.names)
 
     return docs.select(*(quoted(f.name).alias("text" if f.name == "text" else f"c{i}") for i, f in enumerate(fields))).mapInArrow(run, schema)

@@ -427,7 +427,10 @@ class Reader:
         self.within, self.out = float(moves[1:, 1:].max()), float(moves[1:, 0].max())
 
     def emissions(self, coded: list[np.ndarray], wanted: list[tuple[int, tuple[int, int, int, int]]]) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(text, first position, emissions) of the windows wanted, in no order; together they are ``batch`` rows at most."""
+        """(text, first position, emissions) of the windows wanted, in no order; ``batch`` rows at most are read together.
+
+        Each window's emissions are a copy, so that no rows read together outlive the next.
+        """
         wanted = sorted(wanted, key=lambda w: w[1][0] - w[1][1])
         for k in range(0, len(wanted), self.batch):
             part = wanted[k : k + self.batch]
@@ -437,7 +440,8 @@ class Reader:
                 x[: b - a, j] = coded[i][a:b]
             found = self.network.emissions(x, length)
             for j, (i, (a, _, first, last)) in enumerate(part):
-                yield i, first, found[first - a : last - a, j]
+                yield i, first, found[first - a : last - a, j].copy()
+            del found
 
     def decode(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """The spans of each text's best path."""
@@ -462,7 +466,7 @@ class Reader:
                     again |= dict.fromkeys((i, k) for k, w in enumerate(windows[i][max(0, a // STRIDE - 1) : b // STRIDE + 1], max(0, a // STRIDE - 1)) if w[2] < b and w[3] > a)
         if not runs:
             return [[] for _ in texts]
-        rows = {(i, first): found.copy() for i, first, found in self.emissions(coded, [(i, windows[i][k]) for i, k in again])}
+        rows = {(i, first): found for i, first, found in self.emissions(coded, [(i, windows[i][k]) for i, k in again])}
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         runs.sort(key=lambda r: r[2] - r[1])
         for part in batches_of(runs):
@@ -551,17 +555,23 @@ def find(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
+def redacted_batches(batches: Iterator[pa.RecordBatch], reader: Reader, text_at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The batches with personal data in column ``text_at`` replaced, a megabyte of text at a time: a worker never holds a batch's texts twice."""
+    for batch in batches:
+        for first, end, texts in _texts(batch, "text", 1 << 20):
+            part = batch.slice(first, end - first)
+            new = [redacted(t, every) if every else t for t, (_, every) in zip(texts, reader.spans(texts), strict=True)]
+            column = pa.array(new, pa.string(), mask=part.column(text_at).is_null().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([column if i == text_at else c for i, c in enumerate(part.columns)], names=names)
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in text replaced by its kind; a null text stays null."""
     shared = docs.sparkSession.sparkContext.broadcast(train())
-    text_at = docs.schema.names.index("text")
+    names = docs.schema.names
+    text_at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(shared.value)
-        for batch in batches:
-            new = [redacted(t, every) if every else t for _, _, texts in _texts(batch, "text") for t, (_, every) in zip(texts, reader.spans(texts), strict=True)]
-            column = pa.array(new, pa.string(), mask=np.asarray(batch.column(text_at).is_null())) if new else pa.array([], pa.string())
-            yield pa.RecordBatch.from_arrays([column if i == text_at else c for i, c in enumerate(batch.columns)], names=docs_names)
+        yield from redacted_batches(batches, Reader(shared.value), text_at, names)
 
-    docs_names = docs.schema.names
-    return docs.select(*(quoted(c).alias("text" if c == "text" else f"c{i}") for i, c in enumerate(docs_names))).mapInArrow(run, docs.schema)
+    return docs.select(*(quoted(c).alias("text" if c == "text" else f"c{i}") for i, c in enumerate(names))).mapInArrow(run, docs.schema)

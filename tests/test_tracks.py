@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from trackloom.functions import scalar
 from trackloom.functions.quantiles import exact_quantiles
 from trackloom.functions.ranks import upto
-from trackloom.operators import charts, classify, cleaning, clusters, features, stats
+from trackloom.operators import charts, classify, cleaning, clusters, features, folds, stats
 from trackloom.operators import trajectories as tr
 
 POINTS = "track_id long, frame long, cx double, cy double"
@@ -226,6 +226,49 @@ def test_folds_are_fitted_together(spark, kind, monkeypatch):
     assert len(scores) == 2 and 0.8 < min(scores) and max(scores) < 1  # the row without features counts as missed
 
 
+def test_perceptrons_of_all_folds_are_fitted_in_one_job(spark, monkeypatch):
+    model = classify.make_model("mlp")
+    monkeypatch.setattr(type(model), "fit_predict", None)  # no fold is fitted by itself
+    monkeypatch.setattr(folds.Blocks, "summed", None)  # no step is a job
+    odd = spark.createDataFrame([(900, None, 1), (901, [1.0, None], 1), (902, [1.0, 1.0], None)], "track_id long, features array<double>, label int")
+    scores = [r.score for r in classify.cross_validate(model, blobs(spark).unionByName(odd), 2, 2).collect()]
+    assert len(scores) == 2 and 0.6 < min(scores) and max(scores) < 1  # rows without whole features or without a label count as missed
+
+
+def test_perceptrons_held_by_tasks_or_step_by_step(spark, monkeypatch):
+    """More rows than a task should hold: the same fits."""
+    fits = [(r, f) for r in range(2) for f in range(3)]
+    rows = blobs(spark).selectExpr("track_id AS row", "track_id", "features", "IF(track_id % 11 = 0, null, label) AS label", "int(track_id % 3) AS fold0", "int(track_id * 7 % 5 % 3) AS fold1").persist()
+    found = []
+    for most in (folds.HELD, 0):
+        monkeypatch.setattr(folds, "HELD", most)
+        blocks = folds.Blocks(rows, fits, 2)
+        found.append(sorted(map(tuple, folds.perceptrons(blocks, (5, 4), 30, 1).collect())))
+    assert found[0] == found[1] and len(found[0]) == 180
+
+
+def test_sums_of_blocks_are_one_a_core(spark):
+    n = 2048 * spark.sparkContext.defaultParallelism + 1
+    blocks = folds.Blocks(spark.range(n).selectExpr("id AS row", "id AS track_id", "array(1.0D) AS features", "0 AS label", "0 AS fold0"), [(0, 1)], 1)
+    assert blocks.data.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert blocks.summed(lambda _, row, x, code, fold: (x.sum(),), None) == [n]
+
+
+def test_perceptron_gradient():
+    r = np.random.default_rng(0)
+    shape, x, code = [3, 5, 4, 3], r.normal(size=(3, 2500)).astype(np.float32), r.integers(0, 3, 2500)
+    w = r.normal(size=4 * 5 + 6 * 4 + 5 * 3)
+    a, b, c = folds.layers(w, shape)
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    z = sigmoid(sigmoid(x.T @ a[:-1] + a[-1]) @ b[:-1] + b[-1]) @ c[:-1] + c[-1]
+    loss, slope = folds.entropy(w, shape, x, code)
+    assert loss == pytest.approx((np.log(np.exp(z).sum(1)) - z[np.arange(2500), code]).sum(), rel=1e-5)
+    step = 1e-2 * np.eye(len(w))
+    ahead = [(folds.entropy(w + s, shape, x, code)[0] - folds.entropy(w - s, shape, x, code)[0]) / 2e-2 for s in step]
+    assert slope == pytest.approx(np.array(ahead), rel=1e-2, abs=0.5)
+    assert np.isfinite(folds.entropy(w * 1e4, shape, x, code)[0])  # sigmoids at their ends
+
+
 def test_trees_of_all_folds_are_grown_in_one_job(spark, monkeypatch):
     model = classify.make_model("dt")
     monkeypatch.setattr(type(model), "fit_predict", None)  # no fold is fitted by itself

@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -254,6 +256,20 @@ def test_sums_of_blocks_are_one_a_core(spark):
     assert blocks.summed(lambda _, row, x, code, fold: (x.sum(),), None) == [n]
 
 
+def test_perceptrons_do_not_depend_on_the_order_of_blocks():
+    r = np.random.default_rng(2)
+    x, code, fold = r.normal(size=(600, 8)), r.integers(0, 4, 600), r.integers(0, 3, (1, 600))
+
+    class Given(SimpleNamespace):
+        def shared_out(self, work, short):
+            (found,) = work(self.fits, [short(at, x[at], code[at], fold[:, at]) for at in self.order])
+            return found.set_index("row")["code"].sort_index().tolist()
+
+    fit = lambda order: folds.perceptrons(Given(fits=[(0, 1)], width=8, names=[0, 1, 2, 3], n=600, order=order), (16, 16), 300, 3)
+    parts = np.array_split(r.permutation(600), 5)
+    assert fit(parts) == fit(parts[::-1])
+
+
 def test_perceptron_gradient():
     r = np.random.default_rng(0)
     shape, x, code = [3, 5, 4, 3], r.normal(size=(3, 2500)).astype(np.float32), r.integers(0, 3, 2500)
